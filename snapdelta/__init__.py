@@ -6,9 +6,9 @@ the differences of snapshot pairs and sorted text reports come out.
 """
 
 from snapdelta.operators.compare import (
-    check_pairs,
     compare,
     name_changes,
+    pair_sides,
     summary,
     tree_diff,
 )
@@ -26,7 +26,6 @@ __all__ = [
     "Catalog",
     "Model",
     "build_model",
-    "check_pairs",
     "children",
     "compare",
     "diff_rows",
@@ -35,6 +34,7 @@ __all__ = [
     "numbered_lines",
     "object_counts",
     "objects",
+    "pair_sides",
     "read_catalog",
     "report_dir",
     "schema_rows",

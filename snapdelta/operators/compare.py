@@ -14,42 +14,46 @@ STATUSES = ("added", "removed", "modified")
 _ENTRY = LAST_WINS + ["type", "n_columns", "n_indexes", "n_constraints", "fingerprint"]
 
 
-def check_pairs(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The distinct pairs; the job fails on a pair that names an unknown snapshot."""
-    known = snapshots.select(F.col("snapshot_id").alias("_known")).distinct()
+def pair_sides(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Two rows per distinct pair: the snapshots on its old and on its new side.
 
-    def checked(df: DataFrame, side: str) -> DataFrame:
-        unknown = F.concat(
-            F.lit(f"unknown {side}: "),
-            F.coalesce(F.col(side).cast("string"), F.lit("null")),
+    The job fails on a pair that names an unknown snapshot.
+    """
+    known = snapshots.select(F.col("snapshot_id").alias("_known")).distinct()
+    unknown = F.concat(
+        F.lit("pair names an unknown snapshot: "),
+        F.coalesce(F.col("side.snapshot_id").cast("string"), F.lit("null")),
+    )
+    return (
+        pairs.select(*PAIR)
+        .distinct()
+        .select(
+            *PAIR,
+            F.explode(
+                F.array(
+                    F.struct(
+                        F.col("source_id").alias("snapshot_id"), F.lit(True).alias("is_old")
+                    ),
+                    F.struct(
+                        F.col("target_id").alias("snapshot_id"), F.lit(False).alias("is_old")
+                    ),
+                )
+            ).alias("side"),
         )
-        return (
-            df.join(known, F.col(side) == F.col("_known"), "left")
-            .withColumn(side, F.coalesce("_known", F.raise_error(unknown)))
-            .drop("_known")
+        .join(known, F.col("side.snapshot_id") == F.col("_known"), "left")
+        .select(
+            *PAIR,
+            F.coalesce("_known", F.raise_error(unknown)).alias("snapshot_id"),
+            "side.is_old",
         )
-
-    return checked(checked(pairs.select(*PAIR).distinct(), "source_id"), "target_id")
-
-
-def _sides(pairs: DataFrame) -> DataFrame:
-    """Two rows per pair: which snapshot is on the old and on the new side."""
-    return pairs.select(
-        *PAIR,
-        F.explode(
-            F.array(
-                F.struct(F.col("source_id").alias("snapshot_id"), F.lit(True).alias("is_old")),
-                F.struct(F.col("target_id").alias("snapshot_id"), F.lit(False).alias("is_old")),
-            )
-        ).alias("side"),
-    ).select(*PAIR, "side.*")
+    )
 
 
 def _content(entry: str) -> Column:
     return F.struct(*[F.col(f"{entry}.{f}") for f in CONTENT_FIELDS + ["fingerprint"]])
 
 
-def name_changes(objects: DataFrame, pairs: DataFrame) -> DataFrame:
+def name_changes(objects: DataFrame, pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """One row per pair and name that differs.
 
     ``old`` and ``new`` are the objects that hold the name on each side, ``n_old``
@@ -65,7 +69,7 @@ def name_changes(objects: DataFrame, pairs: DataFrame) -> DataFrame:
         .when(~_content("old").eqNullSafe(_content("new")), "modified")
     )
     return (
-        objects.join(_sides(pairs), "snapshot_id")
+        objects.join(pair_sides(pairs, snapshots), "snapshot_id")
         .groupBy(*PAIR, "name")
         .agg(
             F.max(F.when(is_old, entry)).alias("old"),
@@ -98,14 +102,14 @@ def summary(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def compare(objects: DataFrame, pairs: DataFrame) -> DataFrame:
+def compare(objects: DataFrame, pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """All differing objects: ``source_id, target_id, status, name, old, new``.
 
     Every object of an added or removed name is listed; of a modified name, the
     one that holds it on each side. ``objects`` is used twice: pass rows that are
     stored or checkpointed (see :mod:`snapdelta.plans.comparison`).
     """
-    changes = name_changes(objects, pairs)
+    changes = name_changes(objects, pairs, snapshots)
     modified = changes.where(F.col("status") == "modified").select(
         *PAIR, F.lit("modified").alias("status"), "name", "old", "new"
     )
@@ -127,7 +131,9 @@ def compare(objects: DataFrame, pairs: DataFrame) -> DataFrame:
     return listed.unionByName(modified)
 
 
-def tree_diff(objects: DataFrame, children: DataFrame, pairs: DataFrame) -> DataFrame:
+def tree_diff(
+    objects: DataFrame, children: DataFrame, pairs: DataFrame, snapshots: DataFrame
+) -> DataFrame:
     """Which ``[TYPE] name`` nodes stand on the left, on the right or on both sides.
 
     Nodes are told apart by kind and unqualified name alone. Equal nodes are
@@ -152,7 +158,7 @@ def tree_diff(objects: DataFrame, children: DataFrame, pairs: DataFrame) -> Data
         return F.struct(F.lit(side).alias("side"), n.alias("n"))
 
     return (
-        nodes.join(_sides(pairs), "snapshot_id")
+        nodes.join(pair_sides(pairs, snapshots), "snapshot_id")
         .groupBy(*PAIR, *node)
         .agg(
             F.count_if(F.col("is_old")).alias("n_left"),

@@ -39,19 +39,17 @@ def build_model(catalog: Catalog, schema: Scope = None) -> Model:
 
 def diff_summary(model: Model, pairs: DataFrame) -> DataFrame:
     """Counts per pair and status. Reads the objects once."""
-    checked = cmp.check_pairs(pairs, model.snapshots)
-    return cmp.summary(cmp.name_changes(model.objects, checked), checked)
+    return cmp.summary(cmp.name_changes(model.objects, pairs, model.snapshots), pairs)
 
 
 def diff(model: Model, pairs: DataFrame) -> DataFrame:
     """The differing objects of every pair."""
-    return cmp.compare(model.stored().objects, cmp.check_pairs(pairs, model.snapshots))
+    return cmp.compare(model.stored().objects, pairs, model.snapshots)
 
 
 def tree_diff(model: Model, pairs: DataFrame) -> DataFrame:
     """The aligned nodes of both sides of every pair."""
-    checked = cmp.check_pairs(pairs, model.snapshots)
-    return cmp.tree_diff(model.objects, model.children, checked)
+    return cmp.tree_diff(model.objects, model.children, pairs, model.snapshots)
 
 
 def schema_report(model: Model) -> report.Report:
@@ -62,6 +60,4 @@ def schema_report(model: Model) -> report.Report:
 
 def diff_report(model: Model, pairs: DataFrame) -> report.Report:
     """The difference text of every pair."""
-    checked = cmp.check_pairs(pairs, model.snapshots)
-    found = checkpointed(cmp.compare(model.stored().objects, checked))
-    return report.diff_rows(found, model.children, checked)
+    return report.diff_rows(checkpointed(diff(model, pairs)), model.children, pairs)
