@@ -11,6 +11,7 @@ YES = "YES"
 UNIQUE_WORD = "UNIQUE"
 FUNCTION_KIND = "f"
 PROCEDURE_KIND = "p"
+KEYED_CONSTRAINTS = ("PRIMARY KEY", "FOREIGN KEY", "UNIQUE")
 KEY_COLUMN_SEPARATOR = ","
 NAME_SEPARATOR = "."
 

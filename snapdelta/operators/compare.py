@@ -106,8 +106,8 @@ def compare(objects: DataFrame, pairs: DataFrame, snapshots: DataFrame) -> DataF
     """All differing objects: ``source_id, target_id, status, name, old, new``.
 
     Every object of an added or removed name is listed; of a modified name, the
-    one that holds it on each side. ``objects`` is used twice: pass rows that are
-    stored or checkpointed (see :mod:`snapdelta.plans.comparison`).
+    one that holds it on each side. ``objects`` is read twice: pass stored
+    rows (see :mod:`snapdelta.plans.comparison`).
     """
     changes = name_changes(objects, pairs, snapshots)
     modified = changes.where(F.col("status") == "modified").select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.functions.expressions import (
     FUNCTION_KIND,
+    KEYED_CONSTRAINTS,
     PROCEDURE_KIND,
     YES,
     constraint_definition,
@@ -54,25 +55,40 @@ def constraints(
 ) -> DataFrame:
     """Constraints with a definition that lists their key columns.
 
+    Only constraints whose definition shows key columns are joined with them; the
+    others, in most databases the many NOT NULL checks, are just made distinct.
     The join and the grouping share one shuffle: the grouping keys contain the
     join keys.
     """
     keys = ["snapshot_id", "table_schema", "table_name", "constraint_name"]
-    key_columns = key_column_usage.select(*keys, "column_name", "ordinal_position")
-    kind = required("constraint_type", "constraint_type")
-    return (
-        in_scope(table_constraints, "table_schema", schema)
-        .join(key_columns, keys, "left")
+    listed = in_scope(table_constraints, "table_schema", schema).select(
+        "snapshot_id",
+        "table_schema",
+        required("table_name", "table_name").alias("table_name"),
+        required("constraint_name", "constraint_name").alias("constraint_name"),
+        required("constraint_type", "constraint_type").alias("constraint_type"),
+    )
+    shows_keys = F.col("constraint_type").isin(*KEYED_CONSTRAINTS)
+    keyed = (
+        listed.where(shows_keys)
+        .join(key_column_usage.select(*keys, "column_name", "ordinal_position"), keys, "left")
         .groupBy(*keys, "constraint_type")
         .agg(ordered_key_columns().alias("key_columns"))
-        .select(
-            "snapshot_id",
-            F.col("table_schema").alias("schema_name"),
-            required("table_name", "table_name").alias("table_name"),
-            required("constraint_name", "constraint_name").alias("constraint_name"),
-            kind.alias("constraint_type"),
-            constraint_definition(kind, F.col("key_columns")).alias("definition"),
-        )
+    )
+    others = (
+        listed.where(~shows_keys)
+        .distinct()
+        .withColumn("key_columns", F.lit(None).cast("string"))
+    )
+    return keyed.unionByName(others).select(
+        "snapshot_id",
+        F.col("table_schema").alias("schema_name"),
+        "table_name",
+        "constraint_name",
+        "constraint_type",
+        constraint_definition(F.col("constraint_type"), F.col("key_columns")).alias(
+            "definition"
+        ),
     )
 
 

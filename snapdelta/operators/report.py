@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.operators.compare import PAIR, STATUSES
 from snapdelta.operators.objects import CHILD_KEY, LISTING, object_counts
-from snapdelta.sources.shared_storage import checkpointed
+from snapdelta.sources.shared_storage import stored
 
 # The wording of the reports.
 SCHEMA_TITLE = "=== Database Schema ==="
@@ -118,7 +118,7 @@ def schema_rows(objects: DataFrame, children: DataFrame, snapshots: DataFrame) -
 def diff_rows(diff: DataFrame, children: DataFrame, pairs: DataFrame) -> Report:
     """The text of each pair's differences; children keep their stored order.
 
-    ``diff`` is used three times: pass stored or checkpointed rows.
+    ``diff`` is used three times: pass stored rows.
     """
     order = ["status_rank", "part", "name", *LISTING, "version", "is_child", "child_rank",
              "ordinal_position", "child_name", "constraint_type"]
@@ -266,12 +266,12 @@ def ranged(report: Report) -> DataFrame:
 def numbered_lines(report: Report) -> DataFrame:
     """Every line of every report with its number, from 1.
 
-    The lines are range-partitioned, sorted and checkpointed once. Each line then
-    knows its place in its partition, and only the number of lines per partition
-    and report is needed to shift it: no report passes through a single task.
+    The lines are range-partitioned, sorted and stored once. Each line then knows
+    its place in its partition, and only the number of lines per partition and
+    report is needed to shift it: no report passes through a single task.
     """
     spark = report.rows.sparkSession
-    lines = checkpointed(
+    lines = stored(
         ranged(report)
         .select(*report.key, F.explode(F.split("text", "\n", -1)).alias("line"))
         .withColumns(
@@ -282,7 +282,7 @@ def numbered_lines(report: Report) -> DataFrame:
         )
     )
     # One row per range and report that share lines.
-    counts = checkpointed(
+    counts = stored(
         lines.groupBy("_range", *report.key).agg(
             F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -11,30 +11,37 @@ from snapdelta.operators import objects as obj
 from snapdelta.operators import report
 from snapdelta.operators.members import Scope
 from snapdelta.sources.catalog import Catalog
-from snapdelta.sources.shared_storage import checkpointed
+from snapdelta.sources.shared_storage import stored
 
 
-@dataclass(frozen=True)
 class Model:
-    """The objects, their children and the known snapshots."""
+    """The objects of all snapshots, their children and the known snapshots."""
 
-    objects: DataFrame
-    children: DataFrame
-    snapshots: DataFrame
+    def __init__(self, catalog: Catalog, schema: Scope = None):
+        self.catalog = catalog
+        self.schema = schema
 
-    def stored(self) -> Model:
-        """The same model with its objects computed once.
+    @property
+    def snapshots(self) -> DataFrame:
+        return self.catalog.snapshots
 
-        Plans that read the objects more than once start from here. The children,
-        by far the larger relation, are read straight from the catalog.
-        """
-        return Model(checkpointed(self.objects), self.children, self.snapshots)
+    @cached_property
+    def objects(self) -> DataFrame:
+        return obj.objects(self.catalog, self.schema)
+
+    @cached_property
+    def children(self) -> DataFrame:
+        """By far the larger relation; always read straight from the catalog."""
+        return obj.children(self.catalog, self.schema)
+
+    @cached_property
+    def stored_objects(self) -> DataFrame:
+        """The objects, computed once: for plans that read them more than once."""
+        return stored(self.objects)
 
 
 def build_model(catalog: Catalog, schema: Scope = None) -> Model:
-    return Model(
-        obj.objects(catalog, schema), obj.children(catalog, schema), catalog.snapshots
-    )
+    return Model(catalog, schema)
 
 
 def diff_summary(model: Model, pairs: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def diff_summary(model: Model, pairs: DataFrame) -> DataFrame:
 
 def diff(model: Model, pairs: DataFrame) -> DataFrame:
     """The differing objects of every pair."""
-    return cmp.compare(model.stored().objects, pairs, model.snapshots)
+    return cmp.compare(model.stored_objects, pairs, model.snapshots)
 
 
 def tree_diff(model: Model, pairs: DataFrame) -> DataFrame:
@@ -54,10 +61,9 @@ def tree_diff(model: Model, pairs: DataFrame) -> DataFrame:
 
 def schema_report(model: Model) -> report.Report:
     """The schema text of every known snapshot."""
-    stored = model.stored()
-    return report.schema_rows(stored.objects, stored.children, stored.snapshots)
+    return report.schema_rows(model.stored_objects, model.children, model.snapshots)
 
 
 def diff_report(model: Model, pairs: DataFrame) -> report.Report:
     """The difference text of every pair."""
-    return report.diff_rows(checkpointed(diff(model, pairs)), model.children, pairs)
+    return report.diff_rows(stored(diff(model, pairs)), model.children, pairs)

@@ -7,206 +7,192 @@ become routines and suppliers sequences. Each region key is one snapshot; snapsh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from snapdelta.sources.catalog import Catalog
 
-# Fixed value: the star schema has the region keys 0 to 4.
-SNAPSHOTS = range(5)
+# The columns used of the test tables.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING",
+    "customer": "c_custkey BIGINT",
+    "supplier": "s_suppkey BIGINT",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING"
+    ),
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT",
+}
+# Fixed value: one snapshot for each region key.
+EACH_SNAPSHOT = "explode(sequence(0, 4)) as snapshot_id"
 
 
-def _name(prefix: str, key: str) -> Column:
-    return F.concat(F.lit(prefix), F.col(key).cast("string"))
+def _name(prefix: str, key: str) -> str:
+    return f"concat('{prefix}', cast({key} as string))"
 
 
-def _schema(key: str) -> Column:
+def _schema(key: str) -> str:
     return (
-        F.when(F.col(key) % 50 == 7, "pg_catalog")
-        .when(F.col(key) % 50 == 8, "information_schema")
-        .otherwise(F.concat(F.lit("s"), (F.col(key) % 5).cast("string")))
+        f"case when {key} % 50 = 7 then 'pg_catalog' "
+        f"when {key} % 50 = 8 then 'information_schema' "
+        f"else concat('s', cast({key} % 5 as string)) end"
     )
 
 
-def _everywhere(df: DataFrame) -> DataFrame:
-    """Each row once per snapshot."""
-    return df.withColumn("snapshot_id", F.explode(F.array(*[F.lit(i) for i in SNAPSHOTS])))
+def _drifted(key: str, modulus: int) -> str:
+    return f"snapshot_id > 0 and ({key} + snapshot_id) % {modulus} = 0"
 
 
-def _present(key: str, modulus: int) -> Column:
-    return (F.col(key) + F.col("snapshot_id")) % modulus != 0
-
-
-def _drifted(key: str, modulus: int) -> Column:
-    return (F.col("snapshot_id") > 0) & ((F.col(key) + F.col("snapshot_id")) % modulus == 0)
+def _present(key: str, modulus: int) -> str:
+    return f"({key} + snapshot_id) % {modulus} <> 0"
 
 
 def catalog_from(spark: SparkSession, sf_dir: str) -> Catalog:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    region, nation, orders = table("region"), table("nation"), table("orders")
-    part, supplier, customer = table("part"), table("supplier"), table("customer")
+    def everywhere(df: DataFrame) -> DataFrame:
+        return df.selectExpr("*", EACH_SNAPSHOT)
 
-    snapshots = region.select(
-        F.col("r_regionkey").alias("snapshot_id"),
-        F.col("r_name").alias("name"),
-        F.lit(None).cast("string").alias("schema_name"),
-    )
+    orders, part, supplier = table("orders"), table("part"), table("supplier")
 
     # A table is left out of a snapshot as a whole, so the position of a column is
     # the same in all snapshots and is numbered once.
-    by_key = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    numbered = orders.selectExpr(
+        "*",
+        "row_number() over (partition by o_custkey order by o_orderkey) as ordinal_position",
+    )
     columns = (
-        _everywhere(orders.withColumn("ordinal_position", F.row_number().over(by_key)))
+        everywhere(numbered)
         .where(_present("o_custkey", 11))
-        .select(
+        .selectExpr(
             "snapshot_id",
-            _schema("o_custkey").alias("table_schema"),
-            _name("customer_", "o_custkey").alias("table_name"),
-            _name("o_", "o_orderkey").alias("column_name"),
-            F.when(_drifted("o_orderkey", 97), "text")
-            .otherwise(F.col("o_orderpriority"))
-            .alias("data_type"),
-            F.when(F.col("o_orderstatus") == "O", "YES").otherwise("NO").alias("is_nullable"),
-            F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("column_default"),
+            f"{_schema('o_custkey')} as table_schema",
+            f"{_name('customer_', 'o_custkey')} as table_name",
+            f"{_name('o_', 'o_orderkey')} as column_name",
+            f"case when {_drifted('o_orderkey', 97)} then 'text' else o_orderpriority end "
+            "as data_type",
+            "case when o_orderstatus = 'O' then 'YES' else 'NO' end as is_nullable",
+            "case when o_orderkey % 3 <> 0 then o_orderstatus end as column_default",
             "ordinal_position",
         )
     )
 
     order_indexes = (
-        _everywhere(orders.where(F.col("o_orderkey") % 7 == 0))
+        everywhere(orders.where("o_orderkey % 7 = 0"))
         .where(_present("o_custkey", 11))
-        .select(
+        .selectExpr(
             "snapshot_id",
-            _schema("o_custkey").alias("schemaname"),
-            _name("customer_", "o_custkey").alias("tablename"),
-            _name("ix_", "o_orderkey").alias("indexname"),
-            F.concat(
-                F.when(F.col("o_orderkey") % 2 == 0, "CREATE UNIQUE INDEX ").otherwise(
-                    "CREATE INDEX "
-                ),
-                _name("ix_", "o_orderkey"),
-            ).alias("indexdef"),
+            f"{_schema('o_custkey')} as schemaname",
+            f"{_name('customer_', 'o_custkey')} as tablename",
+            f"{_name('ix_', 'o_orderkey')} as indexname",
+            "concat(case when o_orderkey % 2 = 0 then 'CREATE UNIQUE INDEX ' "
+            f"else 'CREATE INDEX ' end, {_name('ix_', 'o_orderkey')}) as indexdef",
         )
     )
     part_indexes = (
-        _everywhere(part.where(F.col("p_partkey") % 10 == 0))
+        everywhere(part.where("p_partkey % 10 = 0"))
         .where(_present("p_partkey", 13))
-        .select(
+        .selectExpr(
             "snapshot_id",
-            _schema("p_partkey").alias("schemaname"),
-            _name("part_", "p_partkey").alias("tablename"),
-            _name("pix_", "p_partkey").alias("indexname"),
-            F.lit("CREATE INDEX pix").alias("indexdef"),
+            f"{_schema('p_partkey')} as schemaname",
+            f"{_name('part_', 'p_partkey')} as tablename",
+            f"{_name('pix_', 'p_partkey')} as indexname",
+            "'CREATE INDEX pix' as indexdef",
         )
     )
 
     constraint_place = [
         "snapshot_id",
-        _schema("o_custkey").alias("table_schema"),
-        _name("customer_", "o_custkey").alias("table_name"),
-        _name("k_", "o_orderkey").alias("constraint_name"),
+        f"{_schema('o_custkey')} as table_schema",
+        f"{_name('customer_', 'o_custkey')} as table_name",
+        f"{_name('k_', 'o_orderkey')} as constraint_name",
     ]
-    constrained = orders.where(F.col("o_orderkey") % 6 == 0)
-    rest = F.col("o_orderkey") % 5
+    constrained = orders.where("o_orderkey % 6 = 0")
     table_constraints = (
-        _everywhere(constrained)
+        everywhere(constrained)
         .where(_present("o_custkey", 11))
-        .select(
+        .selectExpr(
             *constraint_place,
-            F.when(rest == 0, "PRIMARY KEY")
-            .when(rest == 1, "FOREIGN KEY")
-            .when(rest == 2, "UNIQUE")
-            .when(rest == 3, "CHECK")
-            .otherwise("EXCLUDE")
-            .alias("constraint_type"),
+            "case o_orderkey % 5 when 0 then 'PRIMARY KEY' when 1 then 'FOREIGN KEY' "
+            "when 2 then 'UNIQUE' when 3 then 'CHECK' else 'EXCLUDE' end as constraint_type",
         )
     )
     keyed = table("lineitem").join(
-        constrained.where(rest < 3), F.col("l_orderkey") == F.col("o_orderkey")
+        constrained.where("o_orderkey % 5 < 3").withColumnRenamed("o_orderkey", "l_orderkey"),
+        "l_orderkey",
     )
-    key_column_usage = _everywhere(keyed).select(
+    key_column_usage = everywhere(keyed.withColumnRenamed("l_orderkey", "o_orderkey")).selectExpr(
         *constraint_place,
-        _name("c", "l_partkey").alias("column_name"),
-        F.col("l_linenumber").alias("ordinal_position"),
+        f"{_name('c', 'l_partkey')} as column_name",
+        "l_linenumber as ordinal_position",
     )
 
     customer_views = (
-        _everywhere(customer.where(F.col("c_custkey") % 20 == 3))
+        everywhere(table("customer").where("c_custkey % 20 = 3"))
         .where(_present("c_custkey", 11))
-        .select(
+        .selectExpr(
             "snapshot_id",
-            _schema("c_custkey").alias("table_schema"),
-            _name("customer_", "c_custkey").alias("table_name"),
+            f"{_schema('c_custkey')} as table_schema",
+            f"{_name('customer_', 'c_custkey')} as table_name",
         )
     )
-    supplier_views = _everywhere(supplier.where(F.col("s_suppkey") % 10 == 0)).select(
+    supplier_views = everywhere(supplier.where("s_suppkey % 10 = 0")).selectExpr(
         "snapshot_id",
-        F.lit("s0").alias("table_schema"),
-        _name("supplier_", "s_suppkey").alias("table_name"),
+        "'s0' as table_schema",
+        f"{_name('supplier_', 's_suppkey')} as table_name",
     )
 
-    kind = F.col("p_size") % 4
     proc = (
-        _everywhere(part)
+        everywhere(part)
         .where(_present("p_partkey", 17))
-        .select(
+        .selectExpr(
             "snapshot_id",
-            F.col("p_partkey").alias("oid"),
-            F.concat(F.lit("fn_"), (F.col("p_partkey") % 400).cast("string")).alias("proname"),
-            (F.col("p_partkey") % 25).alias("pronamespace"),
-            (F.col("p_partkey") % 5).alias("prolang"),
-            F.when(kind == 2, "p").when(kind == 3, "a").otherwise("f").alias("prokind"),
-            F.when(_drifted("p_partkey", 31), "void")
-            .otherwise(F.col("p_type"))
-            .alias("return_type"),
-            F.concat("p_brand", F.lit(" "), "p_name").alias("arguments"),
-        )
-    )
-    namespace = _everywhere(nation).select(
-        "snapshot_id",
-        F.col("n_nationkey").cast("bigint").alias("oid"),
-        F.when(F.col("n_nationkey") == 0, "pg_catalog")
-        .otherwise(F.col("n_name"))
-        .alias("nspname"),
-    )
-    language = _everywhere(region).select(
-        "snapshot_id",
-        F.col("r_regionkey").cast("bigint").alias("oid"),
-        F.col("r_name").alias("lanname"),
-    )
-    sequences = (
-        _everywhere(supplier)
-        .where(_present("s_suppkey", 11))
-        .select(
-            "snapshot_id",
-            F.concat(F.lit("s"), (F.col("s_suppkey") % 5).cast("string")).alias(
-                "sequence_schema"
-            ),
-            _name("seq_", "s_suppkey").alias("sequence_name"),
-            F.lit("bigint").alias("data_type"),
-            F.col("s_suppkey").cast("string").alias("start_value"),
-            F.when(_drifted("s_suppkey", 9), "10").otherwise("1").alias("increment"),
+            "p_partkey as oid",
+            f"{_name('fn_', '(p_partkey % 400)')} as proname",
+            "p_partkey % 25 as pronamespace",
+            "p_partkey % 5 as prolang",
+            "case p_size % 4 when 2 then 'p' when 3 then 'a' else 'f' end as prokind",
+            f"case when {_drifted('p_partkey', 31)} then 'void' else p_type end as return_type",
+            "concat(p_brand, ' ', p_name) as arguments",
         )
     )
+    region = table("region")
     return Catalog(
-        snapshots=snapshots,
+        snapshots=region.selectExpr(
+            "r_regionkey as snapshot_id", "r_name as name",
+            "cast(null as string) as schema_name",
+        ),
         columns=columns,
         indexes=order_indexes.unionByName(part_indexes),
         table_constraints=table_constraints,
         key_column_usage=key_column_usage,
         views=customer_views.unionByName(supplier_views),
         proc=proc,
-        namespace=namespace,
-        language=language,
-        sequences=sequences,
+        namespace=everywhere(table("nation")).selectExpr(
+            "snapshot_id",
+            "cast(n_nationkey as bigint) as oid",
+            "case when n_nationkey = 0 then 'pg_catalog' else n_name end as nspname",
+        ),
+        language=everywhere(region).selectExpr(
+            "snapshot_id", "cast(r_regionkey as bigint) as oid", "r_name as lanname"
+        ),
+        sequences=everywhere(supplier)
+        .where(_present("s_suppkey", 11))
+        .selectExpr(
+            "snapshot_id",
+            "concat('s', cast(s_suppkey % 5 as string)) as sequence_schema",
+            f"{_name('seq_', 's_suppkey')} as sequence_name",
+            "'bigint' as data_type",
+            "cast(s_suppkey as string) as start_value",
+            f"case when {_drifted('s_suppkey', 9)} then '10' else '1' end as increment",
+        ),
     )
 
 
 def pairs_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The baseline with each other snapshot."""
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return region.where(F.col("r_regionkey") > 0).select(
-        F.lit(0).alias("source_id"), F.col("r_regionkey").alias("target_id")
+    region = spark.read.schema(TABLES["region"]).parquet(f"{sf_dir}/region.parquet")
+    return region.where("r_regionkey > 0").selectExpr(
+        "0 as source_id", "r_regionkey as target_id"
     )

@@ -16,24 +16,25 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may do without the setting; it gets a temporary folder.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
-    context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    if named is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="snapdelta-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        named = tempfile.mkdtemp(prefix="snapdelta-")
+        spark.conf.set(CHECKPOINT_SETTING, named)
+    return named
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder in the shared folder that nobody has used yet."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed now and read back from the shared folder.
+
+    A table rather than a checkpoint of rows, so that readers still prune columns.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
