@@ -162,7 +162,7 @@ def _tables_and_views(catalog: Catalog, schema: Scope) -> DataFrame:
         n_columns.alias("n_columns"),
         n_indexes.alias("n_indexes"),
         n_constraints.alias("n_constraints"),
-        F.struct(*parts).alias("fingerprint"),
+        F.array(*parts).alias("fingerprint"),
     )
     none = F.lit(0).cast("bigint")
     as_view = F.struct(
@@ -173,7 +173,7 @@ def _tables_and_views(catalog: Catalog, schema: Scope) -> DataFrame:
         n_columns.alias("n_columns"),
         none.alias("n_indexes"),
         none.alias("n_constraints"),
-        F.struct(*[F.col(f"{p}_columns").alias(p) for p in parts]).alias("fingerprint"),
+        F.array(*[f"{p}_columns" for p in parts]).alias("fingerprint"),
     )
     listed = (
         grouped.select(*OWNER, F.explode(F.array(as_table, as_view)).alias("object"))
