@@ -123,6 +123,7 @@ def _tables_and_views(catalog: Catalog, schema: Scope) -> DataFrame:
     )
     parts = [f"_part{i}" for i in range(len(content))]
     view_mark = -1
+    table_kind, view_kind = OBJECT_TYPES.index("TABLE"), OBJECT_TYPES.index("VIEW")
     stacked = _table_children(catalog, schema).select(
         *OWNER, "child_rank", *[c.alias(p) for c, p in zip(content, parts)]
     ).unionByName(
@@ -147,39 +148,37 @@ def _tables_and_views(catalog: Catalog, schema: Scope) -> DataFrame:
         *[F.sum(F.when(is_column, F.col(p)).otherwise(0)).alias(f"{p}_columns") for p in parts],
     )
 
+    # Each group may be a table, a view or both. The kind is a plain column, so an
+    # aggregate that a plan does not use is left out together with what it reads.
+    both = grouped.withColumn(
+        "kind_rank", F.explode(F.array(F.lit(table_kind), F.lit(view_kind)))
+    )
+    is_table = F.col("kind_rank") == table_kind
     n_columns, n_indexes, n_constraints = (
         F.col("n_columns"), F.col("n_indexes"), F.col("n_constraints")
     )
+    has_children = n_columns + n_indexes + n_constraints > 0
     # Tables are listed in the order they turn up: first those with columns, then
     # those known from their indexes only, then those known from constraints only.
-    table_rank = F.when(n_columns > 0, 0).when(n_indexes > 0, 1).otherwise(2)
-    has_children = n_columns + n_indexes + n_constraints > 0
-    as_table = F.struct(
-        F.lit(OBJECT_TYPES.index("TABLE")).alias("kind_rank"),
-        F.lit("TABLE").alias("type"),
-        table_rank.alias("table_rank"),
-        F.when(has_children, F.lit(1)).otherwise(0).cast("bigint").alias("copies"),
-        n_columns.alias("n_columns"),
-        n_indexes.alias("n_indexes"),
-        n_constraints.alias("n_constraints"),
-        F.array(*parts).alias("fingerprint"),
-    )
-    none = F.lit(0).cast("bigint")
-    as_view = F.struct(
-        F.lit(OBJECT_TYPES.index("VIEW")).alias("kind_rank"),
-        F.lit("VIEW").alias("type"),
-        F.lit(0).alias("table_rank"),
-        F.col("n_views").alias("copies"),
-        n_columns.alias("n_columns"),
-        none.alias("n_indexes"),
-        none.alias("n_constraints"),
-        F.array(*[f"{p}_columns" for p in parts]).alias("fingerprint"),
-    )
-    listed = (
-        grouped.select(*OWNER, F.explode(F.array(as_table, as_view)).alias("object"))
-        .select(*OWNER, "object.*")
-        .where(F.col("copies") > 0)
+    table_rank = (
+        F.when(~is_table | (n_columns > 0), 0).when(n_indexes > 0, 1).otherwise(2)
     )
+    listed = both.select(
+        *OWNER,
+        "kind_rank",
+        F.when(is_table, "TABLE").otherwise("VIEW").alias("type"),
+        table_rank.alias("table_rank"),
+        F.when(is_table, F.when(has_children, 1).otherwise(0))
+        .otherwise(F.col("n_views"))
+        .cast("bigint")
+        .alias("copies"),
+        "n_columns",
+        F.when(is_table, n_indexes).otherwise(0).alias("n_indexes"),
+        F.when(is_table, n_constraints).otherwise(0).alias("n_constraints"),
+        F.when(is_table, F.array(*parts))
+        .otherwise(F.array(*[f"{p}_columns" for p in parts]))
+        .alias("fingerprint"),
+    ).where(F.col("copies") > 0)
     return expand_copies(listed, "copies", "copy_no")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from snapdelta.operators import report
 from snapdelta.operators.members import Scope
 from snapdelta.sources.catalog import Catalog
 from snapdelta.sources.shared_storage import stored
+from snapdelta.sources.text_sink import write_reports
 
 
 class Model:
@@ -59,9 +61,22 @@ def tree_diff(model: Model, pairs: DataFrame) -> DataFrame:
     return cmp.tree_diff(model.objects, model.children, pairs, model.snapshots)
 
 
+def _listed_objects(model: Model) -> DataFrame:
+    """What a listing shows. Without the fingerprint, the content of the children
+    is neither read nor hashed."""
+    return stored(model.objects.drop("fingerprint"))
+
+
 def schema_report(model: Model) -> report.Report:
     """The schema text of every known snapshot."""
-    return report.schema_rows(model.stored_objects, model.children, model.snapshots)
+    return report.schema_rows(_listed_objects(model), model.children, model.snapshots)
+
+
+def write_schema_reports(model: Model, pairs: DataFrame, base: str, run_at: datetime) -> str:
+    """Write the schema text of every snapshot of a pair; returns the run's folder."""
+    return write_reports(
+        _listed_objects(model), model.children, model.snapshots, pairs, base, run_at
+    )
 
 
 def diff_report(model: Model, pairs: DataFrame) -> report.Report:

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from snapdelta import build_model, numbered_lines, report_dir, schema_rows, write_reports, write_text
+from snapdelta import build_model, numbered_lines, report_dir, schema_rows, write_text
 from snapdelta.plans import comparison
 from snapdelta.sources.sample_catalog import catalog_from, pairs_from
 
@@ -35,9 +35,7 @@ def test_reports_of_a_run(spark, small_sf, model, tmp_path):
     pairs = pairs_from(spark, small_sf).where("target_id < 3")
     at = datetime(2024, 1, 2, 3, 4)
     for _ in range(2):
-        path = write_reports(
-            model.stored_objects, model.children, model.snapshots, pairs, str(tmp_path), at
-        )
+        path = comparison.write_schema_reports(model, pairs, str(tmp_path), at)
     assert path == f"{tmp_path}/2024_01_02_03_04"
     wanted = texts_of(numbered_lines(comparison.schema_report(model)), "snapshot_id")
     folders = {p.name for p in Path(path).iterdir() if p.is_dir()}
