@@ -9,7 +9,7 @@ import __spark_entry__ as registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem".split()
-QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
+QUERIES, ORACLE = registry._catalog_queries(), registry.oracle_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
