@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdelta.llm import bpe_codec, token_counts
-from snapdelta.llm.arrow_tasks import read_table
+from snapdelta.llm import bpe_codec, language_id, token_counts
+from snapdelta.llm.arrow_tasks import in_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = language_id.train(documents, fold=(3, 1))
+    folded = documents.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "text")
+    return language_id.identify(folded, model, keep=["doc_id", "held_out"])
+
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
@@ -30,11 +40,26 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _importable(query: Query) -> Query:
+    """The query, with this repository on the path of the Python workers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if _ROOT not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op4_token_counts": op4_token_counts,
-        "op7_bpe_round_trip": op7_bpe_round_trip,
-    }
+    found = [
+        op2_language_id,
+        op4_token_counts,
+        op7_bpe_round_trip,
+    ]
+    return {query.__name__: _importable(query) for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
