@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdelta.llm import bpe_codec, language_id, token_counts
+from snapdelta.llm import bpe_codec, language_id, token_counts, toxicity
 from snapdelta.llm.arrow_tasks import in_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.train(documents, labels, fold=(4, 2))
+    folded = documents.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "text")
+    scored = toxicity.score(folded, model, keep=["doc_id", "held_out"])
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_hits", "n_restored"
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     model = language_id.train(documents, fold=(3, 1))
@@ -55,6 +65,7 @@ def _importable(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     found = [
+        op1_toxicity,
         op2_language_id,
         op4_token_counts,
         op7_bpe_round_trip,
