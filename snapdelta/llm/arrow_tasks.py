@@ -38,6 +38,13 @@ def slices_by_size(texts: list[str], budget: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def small_batches(batch: pa.RecordBatch, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``budget`` bytes, one row at least."""
+    rows = max(1, int(batch.num_rows * budget / max(batch.nbytes, 1)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -59,9 +66,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (small for whole in batches for small in small_batches(whole)):
             work = work or make()
             made = work(batch.column(len(kept)).to_pylist())
             columns = [batch.column(i) for i in range(len(kept))]

@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm import byte_bpe
-from snapdelta.llm.arrow_tasks import map_texts, slices_by_size
+from snapdelta.llm.arrow_tasks import map_texts, slices_by_size, small_batches
 from snapdelta.llm.token_counts import CACHE_BITS, PieceScanner, slots
 
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 CUT_BITS = 11  # a cut every 2048 characters in the mean
-POOL_IDS = 8_000_000
-REUSE_CHARS = 6_000_000
+POOL_IDS = 4_000_000
+REUSE_CHARS = 4_000_000
 _SAFE = re.compile(r"\S[ \n]")
 _SAFE_REVERSED = re.compile(r"[ \n]\S")
 
@@ -202,7 +202,7 @@ def decode(df: DataFrame, keep: list[str], ids_col: str = "ids", tokenizer_path:
 
     def run(batches):
         words = None
-        for batch in batches:
+        for batch in (small for whole in batches for small in small_batches(whole)):
             if words is None:
                 table = [*byte_bpe.load(path).token_bytes, b""]  # the last for unknown ids
                 lengths = np.fromiter(map(len, table), np.int64, len(table))

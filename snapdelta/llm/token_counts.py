@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from snapdelta.llm import byte_bpe
 from snapdelta.llm.arrow_tasks import map_texts, slices_by_size
 
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 CHUNK = 128
 CACHE_BITS = 20
 
@@ -118,10 +118,10 @@ class PieceScanner:
     """Finds the tokenizer's pieces in a block of texts and hashes each to 64 bits."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.bpe = byte_bpe.load(path)
-        self.splitter = Tokenizer.from_file(path).pre_tokenizer
+        self.splitter = ByteLevel(add_prefix_space=False, use_regex=True)
         self.classes = np.full(0x110001, 255, np.uint8)
         self.classes[0x110000] = END
         self.values = np.random.default_rng(7).integers(1, 1 << 63, 0x3000, dtype=np.uint64)
