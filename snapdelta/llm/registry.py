@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdelta.llm import bpe_codec, language_id, token_counts, toxicity
+from snapdelta.llm import bpe_codec, chat_format, language_id, token_counts, toxicity, warc_store
 from snapdelta.llm.arrow_tasks import in_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,33 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame(
+        [(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    rendered = chat_format.render(chat_format.fold(chat_format.events_of(rows)))
+    formatted = F.col("formatted")
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return (
+        rendered.withColumn("turns", chat_format.parsed(formatted))
+        .withColumn("learned", chat_format.learned_text(formatted, F.col("loss_spans")))
+        .select(
+            "conv_id", F.size("turns").cast("long").alias("n_turns"),
+            F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+            F.length("learned").cast("long").alias("loss_chars"),
+            F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+            F.length(formatted).cast("long").alias("formatted_chars"),
+        )
+    )
+
+
+def op6_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc_store.write_archive(read_table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc_store.read_archive(spark, path)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_codec.encode(read_table(spark, sf_dir, "documents"))
     digested = encoded.select(
@@ -68,10 +95,40 @@ def queries() -> dict[str, Query]:
         op1_toxicity,
         op2_language_id,
         op4_token_counts,
+        op5_chat_format,
+        op6_warc_store,
         op7_bpe_round_trip,
     ]
     return {query.__name__: _importable(query) for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_chat_format": r"""
+            WITH turns AS (
+              SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+              UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+            )
+            SELECT conv_id, count(*) AS n_turns,
+              sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+              CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+              sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+                AS loss_sha256,
+              CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT)
+                AS formatted_chars
+            FROM turns GROUP BY conv_id""",
+        "op6_warc_store": r"""
+            WITH digested AS (
+              SELECT page_id, sha1(coalesce(html, '')) AS hex, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+            ), owned AS (
+              SELECT *, max(page_id) OVER (PARTITION BY hex) AS owner FROM digested
+            )
+            SELECT page_id, payload_bytes,
+              list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS INTEGER)
+                  >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+              CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+              CASE WHEN page_id <> owner THEN owner END AS refers_to
+            FROM owned""",
+    }
