@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdelta.llm import bpe_codec, chat_format, language_id, token_counts, toxicity, warc_store
+from snapdelta.llm import bpe_codec, chat_format, language_id, token_counts, toxicity, vector_search, warc_store
 from snapdelta.llm.arrow_tasks import in_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def _importable(query: Query) -> Query:
     """The query, with this repository on the path of the Python workers."""
 
@@ -98,6 +102,7 @@ def queries() -> dict[str, Query]:
         op5_chat_format,
         op6_warc_store,
         op7_bpe_round_trip,
+        op9_nearest_vectors,
     ]
     return {query.__name__: _importable(query) for query in found}
 
