@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdelta.llm import bpe_codec, chat_format, language_id, token_counts, toxicity, vector_search, warc_store
+from snapdelta.llm import (
+    bpe_codec, chat_format, language_id, source_mix, token_counts, toxicity, vector_search, warc_store,
+)
 from snapdelta.llm.arrow_tasks import in_fold, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +83,14 @@ def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    mixed = source_mix.mix(documents, source_mix.plan(documents))
+    return mixed.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", "mix.shards"
+    )
+
+
 def _importable(query: Query) -> Query:
     """The query, with this repository on the path of the Python workers."""
 
@@ -103,6 +113,7 @@ def queries() -> dict[str, Query]:
         op6_warc_store,
         op7_bpe_round_trip,
         op9_nearest_vectors,
+        op10_source_mix,
     ]
     return {query.__name__: _importable(query) for query in found}
 
