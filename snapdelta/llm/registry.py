@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.llm import (
-    bpe_codec, chat_format, language_id, source_mix, token_counts, toxicity, vector_search, warc_store,
+    bpe_codec, chat_format, jaccard_join, language_id, source_mix, token_counts, toxicity, vector_search, warc_store,
 )
 from snapdelta.llm.arrow_tasks import in_fold, read_table
 
@@ -35,6 +35,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(folded, model, keep=["doc_id", "held_out"])
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_join(read_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -108,6 +112,7 @@ def queries() -> dict[str, Query]:
     found = [
         op1_toxicity,
         op2_language_id,
+        op3_jaccard_join,
         op4_token_counts,
         op5_chat_format,
         op6_warc_store,
