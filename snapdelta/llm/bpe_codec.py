@@ -232,3 +232,16 @@ def ids_text(ids: str | Column = "ids") -> Column:
     """Decimal ids joined by commas."""
     column = F.col(ids) if isinstance(ids, str) else ids
     return F.array_join(column.cast("array<string>"), ",")
+
+
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """``id_col, n_tokens, ids_sha256, decoded_sha256``: each text encoded, then decoded."""
+    encoded = encode(df, id_col, text_col, tokenizer_path)
+    counted = encoded.select(
+        id_col, "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids_text().cast("binary"), 256).alias("ids_sha256"),
+    )
+    decoded = decode(counted, keep=[id_col, "n_tokens", "ids_sha256"], tokenizer_path=tokenizer_path)
+    return decoded.select(
+        id_col, "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )

@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm.arrow_tasks import slices_by_size, small_batches
+from snapdelta.llm.row_filter import bloom, maybe_in
 from snapdelta.sources.shared_storage import stored
 
 BLOCK_CHARS = 500_000
 WORD_SLOT_BITS = 22
 FREQUENT_WORDS = 1 << 18
-BLOOM_BITS = 26
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -271,28 +271,6 @@ def verify(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": node[some], "b": node[label[some]], "links": links[some]})
 
 
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """Words of a Bloom filter of a fixed size that knows all ``node``."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-        for batch in batches:
-            for at in _bloom_places(batch.column(0).to_numpy()):
-                np.bitwise_or.at(table, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], names=["word", "bits"])
-
-    found = nodes.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    table[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return table
-
-
-def _bloom_places(node: np.ndarray) -> list[np.ndarray]:
-    wide = node.view(np.uint64)
-    return [(mixed(wide + np.uint64(i)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for i in (1, 2, 3)]
-
-
 def similarity_join(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -360,14 +338,12 @@ def similarity_join(
                 F.greatest("block", "other").alias("second"))
     )
     # Only sets of some group are needed; the filter has a fixed size and errs by letting more through.
-    filter_bits = spark.sparkContext.broadcast(_bloom(own.select("node")))
+    filter_bits = spark.sparkContext.broadcast(bloom(own.select("node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sizes, hashes, _, node, _ in blocks(batches, Shingles(shared.value, width)):
-            maybe = sizes > 0
-            for at in _bloom_places(node):
-                maybe &= (filter_bits.value[at >> 6] >> (at & 63)) & 1 == 1
+            maybe = (sizes > 0) & maybe_in(filter_bits.value, node)
             ends = np.cumsum(sizes)
             chosen = [i for i in np.flatnonzero(maybe).tolist() if not (node[i] in seen or seen.add(node[i]))]
             if chosen:

@@ -71,16 +71,7 @@ def op6_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe_codec.encode(read_table(spark, sf_dir, "documents"))
-    digested = encoded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe_codec.ids_text().cast("binary"), 256).alias("ids_sha256"),
-    )
-    decoded = bpe_codec.decode(digested, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select(
-        "doc_id", "n_tokens", "ids_sha256",
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return bpe_codec.digests(read_table(spark, sf_dir, "documents"))
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +86,17 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _importable(query: Query) -> Query:
-    """The query, with this repository on the path of the Python workers."""
+def make_importable(spark: SparkSession) -> None:
+    """Puts this repository on the path of the session's Python workers."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
+
+def _importable(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        environment = spark.sparkContext.environment
-        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-        if _ROOT not in paths:
-            environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+        make_importable(spark)
         return query(spark, sf_dir)
 
     return run

@@ -27,6 +27,8 @@ per source is one row; what meets in one task is one row per source, or 256 cell
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,10 +104,14 @@ def plan(
     weights: tuple[float, ...] = (3, 1, 2),
     share: float = 1.5,
     most: float = 2.0,
-    shards: int = 8,
+    words_per_shard: int = 4_000_000,
+    least_shards: int = 8,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per source: size, target, passes, where its last pass ends, and its blocks' shards."""
+    """One row per source: size, target, passes, where its last pass ends, and its blocks' shards.
+
+    There is a shard for each ``words_per_shard`` words of the mix, ``least_shards`` at least.
+    """
     place, cell, order = _positions(F.col("source"), F.col("id"), seed)
     rows = stored(
         df.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
@@ -144,6 +150,8 @@ def plan(
     extra = behind.groupBy("_s").agg(F.min(F.struct(off.alias("off"), key.alias("key"))).alias("best"))
     ended = ended.join(extra, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("extra", F.col("best.key")).drop("_s", "best")
     quota = F.col("passes") * CELLS + F.when(F.col("partial"), F.least(F.col("place_cut") + 1, F.lit(CELLS))).otherwise(F.lit(0))
+    total = wanted.agg(F.sum("target")).first()[0] or 0.0
+    shards = max(least_shards, math.ceil(total / words_per_shard))
     return _with_shards(stored(ended.withColumn("quota", quota.cast("long"))), shards, seed)
 
 
