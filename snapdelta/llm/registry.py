@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.llm import (
-    bpe_codec, chat_format, jaccard_join, language_id, source_mix, token_counts, toxicity, vector_search, warc_store,
+    bpe_codec, chat_format, jaccard_join, language_id, source_mix, token_counts, topk_search, toxicity,
+    vector_search, warc_store,
 )
 from snapdelta.llm.arrow_tasks import in_fold, read_table
 
@@ -74,6 +75,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(read_table(spark, sf_dir, "documents"), every=20, k=10)
+
+
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
 
@@ -111,6 +116,7 @@ def queries() -> dict[str, Query]:
         op5_chat_format,
         op6_warc_store,
         op7_bpe_round_trip,
+        op8_topk_search,
         op9_nearest_vectors,
         op10_source_mix,
     ]
@@ -146,4 +152,27 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
               CASE WHEN page_id <> owner THEN owner END AS refers_to
             FROM owned""",
+        "op8_topk_search": r"""
+            WITH words AS (
+              SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+')) AS word
+              FROM documents WHERE doc_id IS NOT NULL
+            ), counts AS (SELECT doc_id, word, count(*) AS tf FROM words GROUP BY ALL),
+            lengths AS (SELECT doc_id, count(*) AS length FROM words GROUP BY ALL),
+            facts AS (
+              SELECT count(*) AS n, (SELECT count(*) FROM words) / count(*) AS mean
+              FROM documents WHERE doc_id IS NOT NULL
+            ), weights AS (
+              SELECT word, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM counts, facts GROUP BY word
+            ), scores AS (
+              SELECT q.doc_id AS query_id, d.doc_id AS doc_id,
+                round(sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
+              FROM counts q JOIN counts d ON d.word = q.word AND d.doc_id <> q.doc_id
+                JOIN weights w ON w.word = q.word JOIN lengths l ON l.doc_id = d.doc_id, facts
+              WHERE q.doc_id % 20 = 0 GROUP BY ALL
+            ), ranked AS (
+              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores
+            )
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
     }
