@@ -31,6 +31,8 @@ hash; shingles by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,9 @@ from snapdelta.llm.row_filter import bloom, maybe_in
 from snapdelta.sources.shared_storage import stored
 
 BLOCK_CHARS = 500_000
-WORD_SLOT_BITS = 22
-FREQUENT_WORDS = 1 << 18
+WORD_SLOT_BITS = 24
+LISTED_WORDS = 1 << 22
+LEVELS_PER_DOUBLING = 12
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -97,12 +100,12 @@ class Shingles:
         first = np.cumsum(per_text) - per_text
         place = np.arange(len(word)) - first[text]
         begins = np.flatnonzero((place + self.width <= per_text[text]) | (place == 0))
-        hashes, rarest = np.zeros(len(begins), np.uint64), np.full(len(begins), np.iinfo(np.int32).max, np.int32)
+        hashes, rarest = np.zeros(len(begins), np.uint64), np.full(len(begins), 255, np.uint8)
         for k in range(self.width):
             at = np.minimum(begins + k, max(len(word) - 1, 0))
             own = place[begins] + k < per_text[text[begins]]
             hashes = mixed(hashes * _ODD[2] + np.where(own, word[at], np.uint64(k + 1)))
-            rarest = np.where(own, np.minimum(rarest, df[at]), rarest)
+            rarest = np.where(own, np.minimum(rarest, df[at]), rarest)  # of equal shingles equal
         owner = text[begins]
         order = np.lexsort((hashes, rarest, owner))
         hashes, rarest, owner = hashes[order], rarest[order], owner[order]
@@ -140,9 +143,17 @@ def signatures(hashes: np.ndarray, rarest: np.ndarray, percent: int, frequent: i
     return np.concatenate(found)
 
 
+def frequency_level(df: int) -> int:
+    """A byte that grows with the logarithm of a document frequency; 0 for one text or none."""
+    return min(255, int(np.floor(np.log2(max(df, 1)) * LEVELS_PER_DOUBLING)))
+
+
 def _word_frequencies(rows: DataFrame) -> np.ndarray:
-    """Document frequencies of the FREQUENT_WORDS most frequent words at most, by slot of
-    their hash; others count as 0. Only an order is made of them, so clashes do no harm."""
+    """Frequency levels of words, by slot of their hash, 16 MB whatever the input.
+
+    Listed are words of more than one text, the most frequent LISTED_WORDS at most; others
+    have level 0. Only an order is made of the levels, so clashes of slots do no harm.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, found = Words(), []
@@ -153,9 +164,9 @@ def _word_frequencies(rows: DataFrame) -> np.ndarray:
                 both = np.unique(word * _ODD[1] + text.astype(np.uint64) * _ODD[2], return_index=True)[1]
                 found.append(np.unique(word[both], return_counts=True))
                 if len(found) > 40:
-                    found = [_merged(found)]
+                    found = [merged(found)]
         if found:
-            keys, n = _merged(found)
+            keys, n = merged(found)
             for a in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))],
@@ -165,21 +176,21 @@ def _word_frequencies(rows: DataFrame) -> np.ndarray:
     counted = stored(
         rows.select("text").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).where("df > 1")
     )
-    level = F.floor(F.log2("df") * 8).cast("int").alias("level")
+    level = F.least(F.lit(255), F.floor(F.log2("df") * LEVELS_PER_DOUBLING)).cast("int").alias("level")
     total, least = 0, None
     for row in counted.groupBy(level).count().orderBy(F.desc("level")).collect():
-        if total + row["count"] > FREQUENT_WORDS:
+        if total + row["count"] > LISTED_WORDS:
             break
         total, least = total + row["count"], row["level"]
-    table = np.zeros(1 << WORD_SLOT_BITS, np.int32)
+    table = np.zeros(1 << WORD_SLOT_BITS, np.uint8)
     if least is not None:
-        found = counted.where(level >= least).toArrow()
-        slot = (found.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - WORD_SLOT_BITS)).astype(np.int64)
-        np.maximum.at(table, slot, np.minimum(found.column(1).to_numpy(), np.iinfo(np.int32).max - 1).astype(np.int32))
+        slot = F.shiftrightunsigned("word", 64 - WORD_SLOT_BITS).cast("int").alias("slot")
+        found = counted.where(level >= least).select(slot, level.cast("smallint")).toArrow()
+        np.maximum.at(table, found.column(0).to_numpy(), found.column(1).to_numpy().astype(np.uint8))
     return table
 
 
-def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     return keys, np.bincount(back, np.concatenate([n for _, n in found]))
 
@@ -271,6 +282,24 @@ def verify(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": node[some], "b": node[label[some]], "links": links[some]})
 
 
+def _shared(posted: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of keys that two nodes at least have, with the key's least node."""
+    pivots = posted.groupBy(*key).agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
+    return posted.join(pivots.drop("last"), key)
+
+
+def _pivots(shared: DataFrame, percent: int) -> DataFrame:
+    """``node, pivot`` for signatures that sets of near sizes share.
+
+    Sizes of partners differ by a factor of 100 / percent at most. Each set stands in the
+    step of its size and in the next one, so partners share a step; steps are a little
+    wider than that factor, so that rounding cannot part them.
+    """
+    step = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-9)).cast("int")
+    near = shared.select("node", "signature", F.explode(F.array(step, step + 1)).alias("step"))
+    return _shared(near, ["signature", "step"]).select("node", "pivot").distinct()
+
+
 def similarity_join(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -289,7 +318,7 @@ def similarity_join(
     id_type = rows.schema["id"].dataType.simpleString()
     word_df = _word_frequencies(rows)
     shared = spark.sparkContext.broadcast(word_df)
-    frequent = max(50, rows.count() // 1000)
+    frequent = frequency_level(max(50, rows.count() // 1000))
 
     def blocks(batches: Iterator[pa.RecordBatch], make: Shingles) -> Iterator[tuple]:
         for batch in (small for whole in batches for small in small_batches(whole)):
@@ -322,9 +351,8 @@ def similarity_join(
             F.when(differ, F.raise_error(F.lit("two sets have one hash"))).otherwise(F.min("check")).alias("check"),
         )
     )
-    posted = signed.select("node", F.explode("signatures").alias("signature"))
-    pivots = posted.groupBy("signature").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
-    pairs = stored(posted.join(pivots.select("signature", "pivot"), "signature").select("node", "pivot").distinct())
+    posted = signed.select("node", "n", F.explode("signatures").alias("signature"))
+    pairs = stored(_pivots(_shared(posted, ["signature"]), percent))
     members = pairs.join(facts, "node")
     groups = members.groupBy("pivot").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
