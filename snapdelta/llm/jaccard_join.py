@@ -10,9 +10,10 @@ order is. A set of n shingles shares at least c = ceil(n * percent / 100) of the
 partner, so two partners share one of the first n - c + 1 shingles, and two of the first
 n - c + 2. A rare shingle of that extended prefix is indexed alone. Frequent ones, those
 whose words are all frequent, are indexed in pairs: partners that share no rare one share
-two frequent ones. Sets of ``pairs_below`` shingles and more index frequent shingles of
-the plain prefix alone, as their pairs would be too many; sets close below that size do
-both, so that any two partners have one way in common.
+two frequent ones. Sets of ``pairs_below`` shingles and more index all shingles alone, as
+pairs would be too many, but over a prefix that is longer by m, as partners share m
+shingles of it; sets close below that size do both, so that any two partners have one way
+in common. Sets that share too few signatures with sets of a size near theirs drop out.
 
 Of each signature the least set is the pivot; a pivot and all sets that share a signature
 with it are a group, and any two partners are in one group. Groups are verified exactly,
@@ -41,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm.arrow_tasks import slices_by_size, small_batches
+from snapdelta.llm import row_filter
 from snapdelta.llm.row_filter import bloom, maybe_in
 from snapdelta.sources.shared_storage import stored
 
@@ -48,6 +50,7 @@ BLOCK_CHARS = 500_000
 WORD_SLOT_BITS = 24
 LISTED_WORDS = 1 << 22
 LEVELS_PER_DOUBLING = 12
+REQUIRED_EVERY = 50
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -131,13 +134,16 @@ def signatures(hashes: np.ndarray, rarest: np.ndarray, percent: int, frequent: i
     if shared == n:
         return np.empty(0, np.uint64)
     plain = n - shared + 1
+    # The requirement of the largest partner decides how far singles reach.
+    reach = plain + n * 100 // (percent * REQUIRED_EVERY) + 1
     if n >= pairs_below:
-        return hashes[:plain]
-    extended, common = hashes[: plain + 1], rarest[: plain + 1] >= frequent
-    found = [extended[~common]]
+        return hashes[:reach]
+    common = rarest >= frequent
     if 100 * n >= percent * pairs_below:
-        found.append(extended[:plain][common[:plain]])
-    if (m := extended[common]).size > 1:
+        found = [hashes[:reach]]
+    else:
+        found = [hashes[: plain + 1][~common[: plain + 1]]]
+    if (m := hashes[: plain + 1][common[: plain + 1]]).size > 1:
         a, b = np.triu_indices(m.size, 1)
         found.append(mixed(m[a] * _ODD[2] + m[b] * _ODD[3]))
     return np.concatenate(found)
@@ -288,16 +294,24 @@ def _shared(posted: DataFrame, key: list[str]) -> DataFrame:
     return posted.join(pivots.drop("last"), key)
 
 
-def _pivots(shared: DataFrame, percent: int) -> DataFrame:
-    """``node, pivot`` for signatures that sets of near sizes share.
+def _pivots(shared: DataFrame, percent: int, pairs_below: int) -> DataFrame:
+    """``node, pivot`` for signatures that sets of near sizes share, often enough.
 
     Sizes of partners differ by a factor of 100 / percent at most. Each set stands in the
     step of its size and in the next one, so partners share a step; steps are a little
-    wider than that factor, so that rounding cannot part them.
+    wider than that factor, so that rounding cannot part them. Larger sets have all
+    shingles of a longer prefix as signatures, and share n // REQUIRED_EVERY of them with
+    each partner, all in one step; those that share fewer in a step are dropped from it.
     """
     step = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-9)).cast("int")
-    near = shared.select("node", "signature", F.explode(F.array(step, step + 1)).alias("step"))
-    return _shared(near, ["signature", "step"]).select("node", "pivot").distinct()
+    near = shared.select("node", "n", "signature", F.explode(F.array(step, step + 1)).alias("step"))
+    found = stored(_shared(near, ["signature", "step"]).select("node", "n", "step", "pivot"))
+    required = F.when(F.col("n") >= pairs_below, F.floor(F.col("n") / REQUIRED_EVERY)).otherwise(F.lit(1))
+    enough = found.groupBy("node", "n", "step").agg(F.count(F.lit(1)).alias("signatures")).where(F.col("signatures") >= required)
+    pairs = found.select("node", "step", "pivot").distinct().join(enough.select("node", "step"), ["node", "step"])
+    pairs = stored(pairs.select("node", "pivot").distinct())
+    several = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    return pairs.join(several.select("pivot"), "pivot").select("node", "pivot")
 
 
 def similarity_join(
@@ -352,7 +366,13 @@ def similarity_join(
         )
     )
     posted = signed.select("node", "n", F.explode("signatures").alias("signature"))
-    pairs = stored(_pivots(_shared(posted, ["signature"]), percent))
+    repeated = stored(
+        posted.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+        .where("first <> last").select("signature")
+    )
+    # Most signatures occur once; the filter, of a fixed size, takes out nearly all of them.
+    again = posted.where(row_filter.maybe_column(spark, repeated, F.col("signature")))
+    pairs = stored(_pivots(again, percent, pairs_below))
     members = pairs.join(facts, "node")
     groups = members.groupBy("pivot").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOOM_BITS = 26
@@ -44,6 +44,17 @@ def maybe_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
+def maybe_column(spark: SparkSession, keys: DataFrame, column: Column) -> Column:
+    """False where a long column surely holds no key; null values are not keys."""
+    shared = spark.sparkContext.broadcast(bloom(keys))
+
+    @F.pandas_udf("boolean")
+    def maybe(values):
+        return type(values)(maybe_in(shared.value, values.to_numpy(dtype=np.int64)))
+
+    return maybe(column)
+
+
 def one_of_each(df: DataFrame, kept: DataFrame, touched: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose id is in ``kept`` or not in ``touched``, whole rows once.
 
@@ -51,13 +62,8 @@ def one_of_each(df: DataFrame, kept: DataFrame, touched: DataFrame, id_col: str
     rows that may have such an id; only those are shuffled and decided by a join.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(bloom(touched.select(F.xxhash64(id_col))))
-
-    @F.pandas_udf("boolean")
-    def maybe(keys):
-        return type(keys)(maybe_in(shared.value, keys.to_numpy(dtype=np.int64)))
-
-    known = F.col(id_col).isNotNull() & maybe(F.xxhash64(id_col))
+    maybe = maybe_column(spark, touched.select(F.xxhash64(id_col)), F.xxhash64(id_col))
+    known = F.col(id_col).isNotNull() & maybe
     flagged = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), known.alias("_maybe"))
     surely = flagged.where(~F.col("_maybe")).select("_row.*")
     asked = flagged.where("_maybe")
