@@ -21,10 +21,11 @@ their names, are ignored.
 from __future__ import annotations
 
 import re
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm import byte_bpe
@@ -189,6 +190,28 @@ def encode(
     return map_texts(df, text_col, [id_col], lambda: _Encoder(path), {"ids": pa.list_(pa.int32())}, "ids array<int>")
 
 
+class _Decoder:
+    def __init__(self, path: str) -> None:
+        table = [*byte_bpe.load(path).token_bytes, b""]  # the last for unknown ids
+        self.lengths = np.fromiter(map(len, table), np.int64, len(table))
+        self.begins = np.append(0, np.cumsum(self.lengths)[:-1])
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ids."""
+        lengths = self.lengths
+        ids = np.where((ids < 0) | (ids >= len(lengths)), len(lengths) - 1, ids)
+        found, at = [], 0
+        for size in sizes.tolist():
+            own = ids[at : at + size]
+            at += size
+            n = lengths[own]
+            ends = np.cumsum(n)
+            places = np.arange(int(ends[-1]) if size else 0) + np.repeat(self.begins[own] - (ends - n), n)
+            found.append(self.bytes[places].tobytes().decode("utf-8", "replace"))
+        return found
+
+
 def decode(df: DataFrame, keep: list[str], ids_col: str = "ids", tokenizer_path: str | None = None) -> DataFrame:
     """``keep`` beside ``decoded``, the text of the ids with special tokens spelled out.
 
@@ -201,47 +224,45 @@ def decode(df: DataFrame, keep: list[str], ids_col: str = "ids", tokenizer_path:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*kept).schema)
 
     def run(batches):
-        words = None
+        decoder = None
         for batch in (small for whole in batches for small in small_batches(whole)):
-            if words is None:
-                table = [*byte_bpe.load(path).token_bytes, b""]  # the last for unknown ids
-                lengths = np.fromiter(map(len, table), np.int64, len(table))
-                begins = np.append(0, np.cumsum(lengths)[:-1])
-                words = np.frombuffer(b"".join(table), np.uint8)
+            decoder = decoder or _Decoder(path)
             column = batch.column(len(kept))
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            ids = np.where((ids < 0) | (ids >= len(lengths)), len(lengths) - 1, ids)
-            texts = []
-            at = 0
-            for size in sizes.tolist():
-                own = ids[at : at + size]
-                at += size
-                n = lengths[own]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if size else 0
-                places = np.arange(total) + np.repeat(begins[own] - (ends - n), n)
-                texts.append(words[places].tobytes().decode("utf-8", "replace"))
+            texts = decoder.texts(column.flatten().fill_null(-1).to_numpy(zero_copy_only=False), sizes)
             columns = [batch.column(i) for i in range(len(kept))] + [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "decoded"])
 
     return plain.mapInArrow(run, f"{schema}, decoded string")
 
 
-def ids_text(ids: str | Column = "ids") -> Column:
-    """Decimal ids joined by commas."""
-    column = F.col(ids) if isinstance(ids, str) else ids
-    return F.array_join(column.cast("array<string>"), ",")
+class _Digester:
+    """Encodes texts, decodes the ids, and digests both."""
+
+    def __init__(self, path: str) -> None:
+        self.encoder, self.decoder = _Encoder(path), _Decoder(path)
+        self.names = [str(i) for i in range(len(self.decoder.lengths))]
+
+    def __call__(self, texts: list[str]) -> dict[str, list]:
+        found = self.encoder.ids(texts)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        decoded = self.decoder.texts(np.concatenate([_NONE, *found]), sizes)
+        names = self.names
+        return {
+            "n_tokens": sizes,
+            "ids_sha256": [sha256(",".join([names[i] for i in ids.tolist()]).encode()).hexdigest() for ids in found],
+            "decoded_sha256": [sha256(text.encode()).hexdigest() for text in decoded],
+        }
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256``: each text encoded, then decoded."""
-    encoded = encode(df, id_col, text_col, tokenizer_path)
-    counted = encoded.select(
-        id_col, "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids_text().cast("binary"), 256).alias("ids_sha256"),
-    )
-    decoded = decode(counted, keep=[id_col, "n_tokens", "ids_sha256"], tokenizer_path=tokenizer_path)
-    return decoded.select(
-        id_col, "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    """``id_col, n_tokens, ids_sha256, decoded_sha256``: each text encoded, then decoded.
+
+    Both steps run in one task, so that the ids, larger than the texts, never leave it.
+    """
+    path = tokenizer_path or byte_bpe.default_path()
+    return map_texts(
+        df, text_col, [id_col], lambda: _Digester(path),
+        {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()},
+        "n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
