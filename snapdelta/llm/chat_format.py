@@ -11,7 +11,8 @@ line feed around each message. Inside texts and roles each ``<`` that is followe
 number of backslashes and ``|`` gets one backslash more, so no text can hold a control
 string, and reading takes it away again. A line feed in a role becomes ``<n``.
 
-Defined cases: null texts and roles are empty; a null ``conv_id`` is a conversation like
+Defined cases: null texts are empty; a turn has the last role that any of its events names,
+or else an empty one; a null ``conv_id`` is a conversation like
 any other. Events of equal ``seq`` count in the order of turn, kind and text; repeated
 events all count. A turn whose events were all taken back is gone. An empty log gives no
 rows. Columns but the named are ignored. All work is built-in functions: sorts within a
@@ -83,11 +84,12 @@ def fold(events: DataFrame) -> DataFrame:
     of_turn = Window.partitionBy("conv_id", "turn")
     taken_back = F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(until_turn)
     replaced = F.max(F.when(F.col("kind") == "edit", F.col("seq"))).over(of_turn)
-    lived = rows.withColumn("_back", taken_back).withColumn("_edit", replaced).where(
+    named = F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).over(of_turn)
+    lived = rows.withColumn("_back", taken_back).withColumn("_edit", replaced).withColumn("_role", named).where(
         F.coalesce(F.col("seq") >= F.greatest("_back", "_edit"), F.lit(True))
     )
     return lived.groupBy("conv_id", "turn").agg(
-        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))), F.lit("")).alias("role"),
+        F.coalesce(F.max("_role"), F.lit("")).alias("role"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))), lambda e: e["text"]), ""
         ).alias("text"),
