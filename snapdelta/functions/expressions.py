@@ -69,14 +69,15 @@ def in_scope(
     """Rows outside the system schemas and, if asked for, inside one schema.
 
     ``schema`` is a name for all snapshots, or a relation with one row per
-    wanted snapshot: ``snapshot_id, schema_name`` (null name = every schema).
+    wanted snapshot: ``snapshot_id, schema_name`` (null name = every schema). Repeated
+    equal rows count once; two names for one snapshot fail the job.
     """
     kept = df.where(~F.col(schema_column).isin(*SYSTEM_SCHEMAS))
     if schema is None:
         return kept
     if isinstance(schema, str):
         return kept.where(F.col(schema_column) == schema)
-    wanted = schema.select("snapshot_id", F.col("schema_name").alias("_wanted"))
+    wanted = one_scope_each(schema).withColumnRenamed("schema_name", "_wanted")
     return (
         kept.join(wanted, "snapshot_id")
         .where(F.col("_wanted").isNull() | (F.col("_wanted") == F.col(schema_column)))
@@ -84,6 +85,21 @@ def in_scope(
     )
 
 
+def one_scope_each(scope: DataFrame) -> DataFrame:
+    """``snapshot_id, schema_name`` with one row per snapshot; the job fails on two names."""
+    names = F.collect_set(F.struct("schema_name"))
+    several = F.concat(F.lit("several schemas are wanted of snapshot "), F.col("snapshot_id").cast("string"))
+    return (
+        scope.groupBy("snapshot_id").agg(names.alias("_names"))
+        .select(
+            "snapshot_id",
+            F.when(F.size("_names") > 1, F.raise_error(several))
+            .otherwise(F.element_at("_names", 1)["schema_name"])
+            .alias("schema_name"),
+        )
+    )
+
+
 def content_parts(*fields: Column) -> list[Column]:
     """Six small integers that stand for the content of one row.
 

@@ -31,9 +31,6 @@ OLD_VERSION = "  --- Old version ---"
 NEW_VERSION = "  --- New version ---"
 INDENT = "  "
 
-# Rows of offsets up to which numbering sends them to every executor.
-_SMALL_OFFSETS = 200_000
-
 
 @dataclass(frozen=True)
 class Report:
@@ -295,8 +292,6 @@ def numbered_lines(report: Report) -> DataFrame:
             "rows between unbounded preceding and 1 preceding), 0)"
         ),
     ).drop("_n")
-    if counts.count() <= _SMALL_OFFSETS:
-        offsets = F.broadcast(offsets)
     line_no = F.col("_place") - F.col("_first") + F.col("_before") + 1
     return lines.join(offsets, ["_range", *report.key]).select(
         *report.key, line_no.alias("line_no"), "line"

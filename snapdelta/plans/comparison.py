@@ -6,26 +6,50 @@ from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from snapdelta.functions.expressions import one_scope_each
 from snapdelta.operators import compare as cmp
 from snapdelta.operators import objects as obj
 from snapdelta.operators import report
 from snapdelta.operators.members import Scope
 from snapdelta.sources.catalog import Catalog
 from snapdelta.sources.shared_storage import stored
-from snapdelta.sources.text_sink import write_reports
+from snapdelta.sources.text_sink import report_dir, write_reports, write_text
+
+
+def _headed(snapshots: DataFrame, schema: Scope) -> DataFrame:
+    """The known snapshots, once each, with the schema that their heading names."""
+    if schema is None:
+        return one_scope_each(snapshots)
+    ids = snapshots.select("snapshot_id").distinct()
+    if isinstance(schema, str):
+        return ids.withColumn("schema_name", F.lit(schema))
+    return ids.join(one_scope_each(schema), "snapshot_id", "left")
 
 
 class Model:
     """The objects of all snapshots, their children and the known snapshots."""
 
-    def __init__(self, catalog: Catalog, schema: Scope = None):
+    def __init__(self, catalog: Catalog, schema: Scope = None, snapshots: DataFrame | None = None):
         self.catalog = catalog
         self.schema = schema
-
-    @property
-    def snapshots(self) -> DataFrame:
-        return self.catalog.snapshots
+        self.snapshots = _headed(catalog.snapshots, schema) if snapshots is None else snapshots
+
+    def of_pairs(self, pairs: DataFrame) -> Model:
+        """The model of the pairs' snapshots only; it still knows all snapshots.
+
+        Restricting the relations before anything is assembled lets Spark prune the
+        partitions of a catalog that was landed by snapshot. It does so only for a filter
+        that looks selective, hence the comparison, which every id meets.
+        """
+        sides = pairs.selectExpr("source_id as snapshot_id").union(pairs.selectExpr("target_id as snapshot_id"))
+        # Checked at once: a plan without objects would not get as far as the pairs.
+        unknown = sides.join(self.snapshots.select("snapshot_id"), "snapshot_id", "left_anti").first()
+        if unknown is not None:
+            raise ValueError(f"pair names an unknown snapshot: {unknown[0]}")
+        ids = sides.where(F.col("snapshot_id") >= -(1 << 31))
+        return Model(self.catalog.of_snapshots(ids), self.schema, self.snapshots)
 
     @cached_property
     def objects(self) -> DataFrame:
@@ -42,23 +66,33 @@ class Model:
         return stored(self.objects)
 
 
-def build_model(catalog: Catalog, schema: Scope = None) -> Model:
+def build_model(catalog: Catalog, schema: Scope = None, own_schemas: bool = True) -> Model:
+    """The model of a catalog, restricted to ``schema``.
+
+    Without one, each snapshot is restricted to the schema that ``catalog.snapshots``
+    names for it (null = every schema). Headings name the schema applied. A catalog that
+    names none may say so with ``own_schemas=False``, which saves the lookup.
+    """
+    if schema is None and own_schemas:
+        schema = catalog.snapshots.select("snapshot_id", "schema_name")
     return Model(catalog, schema)
 
 
 def diff_summary(model: Model, pairs: DataFrame) -> DataFrame:
     """Counts per pair and status. Reads the objects once."""
-    return cmp.summary(cmp.name_changes(model.objects, pairs, model.snapshots), pairs)
+    compared = model.of_pairs(pairs)
+    return cmp.summary(cmp.name_changes(compared.objects, pairs, model.snapshots), pairs)
 
 
 def diff(model: Model, pairs: DataFrame) -> DataFrame:
     """The differing objects of every pair."""
-    return cmp.compare(model.stored_objects, pairs, model.snapshots)
+    return cmp.compare(model.of_pairs(pairs).stored_objects, pairs, model.snapshots)
 
 
 def tree_diff(model: Model, pairs: DataFrame) -> DataFrame:
     """The aligned nodes of both sides of every pair."""
-    return cmp.tree_diff(model.objects, model.children, pairs, model.snapshots)
+    compared = model.of_pairs(pairs)
+    return cmp.tree_diff(compared.objects, compared.children, pairs, model.snapshots)
 
 
 def _listed_objects(model: Model) -> DataFrame:
@@ -74,11 +108,19 @@ def schema_report(model: Model) -> report.Report:
 
 def write_schema_reports(model: Model, pairs: DataFrame, base: str, run_at: datetime) -> str:
     """Write the schema text of every snapshot of a pair; returns the run's folder."""
+    compared = model.of_pairs(pairs)
     return write_reports(
-        _listed_objects(model), model.children, model.snapshots, pairs, base, run_at
+        _listed_objects(compared), compared.children, model.snapshots, pairs, base, run_at
     )
 
 
 def diff_report(model: Model, pairs: DataFrame) -> report.Report:
     """The difference text of every pair."""
-    return report.diff_rows(stored(diff(model, pairs)), model.children, pairs)
+    return report.diff_rows(stored(diff(model, pairs)), model.of_pairs(pairs).children, pairs)
+
+
+def write_diff_reports(model: Model, pairs: DataFrame, base: str, run_at: datetime) -> str:
+    """Write the difference text of every pair; returns the run's folder."""
+    path = report_dir(base, run_at)
+    write_text(diff_report(model, pairs), path)
+    return path

@@ -1,4 +1,4 @@
-"""A catalog of five snapshots derived from the star-schema test tables.
+"""A catalog of one snapshot per region, derived from the star-schema test tables.
 
 Customers become tables, orders their columns, indexes and constraints, parts
 become routines and suppliers sequences. Each region key is one snapshot; snapshot
@@ -8,6 +8,7 @@ become routines and suppliers sequences. Each region key is one snapshot; snapsh
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snapdelta.sources.catalog import Catalog
 
@@ -23,9 +24,6 @@ TABLES = {
     ),
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT",
 }
-# Fixed value: one snapshot for each region key.
-EACH_SNAPSHOT = "explode(sequence(0, 4)) as snapshot_id"
-
 
 def _name(prefix: str, key: str) -> str:
     return f"concat('{prefix}', cast({key} as string))"
@@ -51,8 +49,12 @@ def catalog_from(spark: SparkSession, sf_dir: str) -> Catalog:
     def table(name: str) -> DataFrame:
         return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
+    region = table("region")
+    # A subquery with one row; no join repeats the tables.
+    snapshot_ids = region.agg(F.array_sort(F.collect_set("r_regionkey"))).scalar()
+
     def everywhere(df: DataFrame) -> DataFrame:
-        return df.selectExpr("*", EACH_SNAPSHOT)
+        return df.select("*", F.explode(snapshot_ids).alias("snapshot_id"))
 
     orders, part, supplier = table("orders"), table("part"), table("supplier")
 
@@ -157,7 +159,6 @@ def catalog_from(spark: SparkSession, sf_dir: str) -> Catalog:
             "concat(p_brand, ' ', p_name) as arguments",
         )
     )
-    region = table("region")
     return Catalog(
         snapshots=region.selectExpr(
             "r_regionkey as snapshot_id", "r_name as name",

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_opened: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints.
-
-    Only a local session may do without the setting; it gets a temporary folder.
-    """
+    """The folder the session names for checkpoints; an error if it names none."""
     named = spark.conf.get(CHECKPOINT_SETTING, None)
-    if named is None:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="snapdelta-")
-        spark.conf.set(CHECKPOINT_SETTING, named)
+    if not named:
+        raise ValueError(
+            f"{CHECKPOINT_SETTING} is not set: name a folder that the driver and all executors share"
+        )
     return named
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder in the shared folder that nobody has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _opened:
+        paths.append(path)
+    return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The rows of ``df``, computed now and read back from the shared folder.
 
     A table rather than a checkpoint of rows, so that readers still prune columns.
     """
     spark = df.sparkSession
     path = new_folder(spark, "stored")
-    df.write.parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Deletes what was stored inside the block when it ends.
+
+    Results that are to outlive the block must have been written elsewhere by then.
+    """
+    paths: list[str] = []
+    _opened.append(paths)
+    try:
+        yield
+    finally:
+        _opened.remove(paths)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from snapdelta.operators.compare import pair_sides
 from snapdelta.operators.report import Report, ranged, schema_rows
+from snapdelta.sources.shared_storage import stored
 
 # Fixed value: the form of the run stamp, year_month_day_hour_minute.
 RUN_STAMP = "%Y_%m_%d_%H_%M"
@@ -38,18 +40,17 @@ def write_reports(
 ) -> str:
     """Write the schema text of every snapshot that takes part in a pair.
 
+    The job fails on a pair that names an unknown snapshot.
     Returns the run's folder; its ``snapshot_id=<id>`` folders hold the texts.
     """
-    ids = (
-        pairs.selectExpr("source_id as snapshot_id")
-        .union(pairs.selectExpr("target_id as snapshot_id"))
-        .distinct()
-    )
+    ids = pair_sides(pairs, snapshots).select("snapshot_id").distinct()
 
     def taking_part(df: DataFrame) -> DataFrame:
         return df.join(ids, "snapshot_id", "left_semi")
 
     path = report_dir(base, run_at)
+    # Read from the pairs, not through the semi-joins, so that an unknown id cannot be lost.
+    ids = stored(ids)
     write_text(
         schema_rows(taking_part(objects), taking_part(children), taking_part(snapshots)),
         path,
