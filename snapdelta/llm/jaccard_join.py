@@ -128,10 +128,11 @@ def set_hashes(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def signatures(hashes: np.ndarray, rarest: np.ndarray, percent: int, frequent: int, pairs_below: int) -> np.ndarray:
-    """Signatures of one set; none if only an equal set can be a partner."""
+    """Signatures of one set; none if only an equal set can be a partner, as neither a set of
+    all but one of its shingles nor one of them all and one more is near enough."""
     n = len(hashes)
     shared = -(-n * percent // 100)
-    if shared == n:
+    if shared == n and 100 * n < percent * (n + 1):
         return np.empty(0, np.uint64)
     plain = n - shared + 1
     # The requirement of the largest partner decides how far singles reach.
@@ -142,7 +143,8 @@ def signatures(hashes: np.ndarray, rarest: np.ndarray, percent: int, frequent: i
     if 100 * n >= percent * pairs_below:
         found = [hashes[:reach]]
     else:
-        found = [hashes[: plain + 1][~common[: plain + 1]]]
+        # Where one shared shingle may be enough, no pair of them is sure to be shared.
+        found = [hashes[: plain + 1][~common[: plain + 1] | (shared < 2)]]
     if (m := hashes[: plain + 1][common[: plain + 1]]).size > 1:
         a, b = np.triu_indices(m.size, 1)
         found.append(mixed(m[a] * _ODD[2] + m[b] * _ODD[3]))

@@ -126,6 +126,24 @@ def test_similarity_join_equals_brute_force(session, width, percent, monkeypatch
     assert [r.n_links for r in got] == links
 
 
+@pytest.mark.parametrize("width, percent, words", [(4, 85, 9), (5, 80, 8), (2, 50, 2)])
+def test_similarity_join_finds_supersets(session, width, percent, words):
+    """The smaller set lies wholly in the larger one: 6 of 7, 4 of 5 and 1 of 2 shingles."""
+    texts = []
+    for i in range(60):  # words of more than 50 texts are frequent
+        for common in (True, False):
+            base = [("all" if common and k else f"own{i}{common}") + str(k) for k in range(words)]
+            texts += [" ".join(base), " ".join([*base, "after"] if i % 2 else ["before", *base])]
+    frequent = [f"all{k}" for k in range(words)]
+    texts += [" ".join(frequent), " ".join([*frequent, "all0"])]
+    sizes, label, links = components_of(texts, width, percent)
+    assert links.count(0) == 0
+    got = jaccard_join.similarity_join(texts_table(session, texts), width=width, percent=percent).orderBy("doc_id").collect()
+    assert [r.n_shingles for r in got] == sizes
+    assert [r.component_id for r in got] == label
+    assert [r.n_links for r in got] == links
+
+
 def test_similarity_join_of_nothing(session):
     assert jaccard_join.similarity_join(texts_table(session, [])).collect() == []
 
