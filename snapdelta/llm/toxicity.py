@@ -33,7 +33,6 @@ from snapdelta.llm.arrow_tasks import in_fold, map_texts, slices_by_size
 
 SYMBOLS = 27  # 0 for what is no letter, then a to z
 CONTEXTS = SYMBOLS**3
-BEAM = 48
 PREFIXES = (4, 5, 6, 7, 8)
 # Look-alikes of letters and how readily a writer picks them, in natural logarithms.
 LOOK_ALIKES = {
@@ -112,10 +111,9 @@ def character_model(df: DataFrame, text_col: str = "text") -> CharacterModel:
     return CharacterModel.of_counts(found.column(0).to_numpy(), found.column(1).to_numpy())
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
+def lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
     """For each place of a span, the letters that may have been meant and their cost."""
     places: list[list[tuple[str, float]]] = []
-    spaced = bool(re.fullmatch(r"\w(?:[ .\-_*][\w@$!])+", span))
     i = 0
     while i < len(span):
         letter = span[i]
@@ -142,18 +140,30 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     return places
 
 
+def _read(link: tuple | None) -> str:
+    parts = []
+    while link:
+        link, meant = link
+        parts.append(meant)
+    return "".join(reversed(parts))
+
+
 class Restorer:
     def __init__(self, log_p: np.ndarray) -> None:
         self.log_p = log_p
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
 
-    def decode(self, span: str) -> str:
-        """The likeliest reading of a span that stands between spaces."""
+    def decode(self, span: str, spaced: bool) -> str:
+        """The likeliest reading of a span that stands between spaces.
+
+        The search is exact; a context, of which the last places allow a few hundred at
+        most, keeps its best path as a chain of links, so work is linear in the length.
+        """
         log_p = self.log_p
-        paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        for options in [*lattice(span), [(" ", 0.0)]]:
-            after: dict[int, tuple[float, str]] = {}
-            for context, (score, text) in paths.items():
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for options in [*lattice(span, spaced), [(" ", 0.0)]]:
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for context, (score, link) in paths.items():
                 for meant, cost in options:
                     total, state = score + cost, context
                     for c in meant:
@@ -163,19 +173,19 @@ class Restorer:
                         total += log_p[state, symbol]
                         state = (state * SYMBOLS + symbol) % CONTEXTS
                     if state not in after or total > after[state][0]:
-                        after[state] = (total, text + meant)
-            if len(after) > BEAM:
-                best = sorted(after.items(), key=lambda x: (-x[1][0], x[1][1]))[:BEAM]
-                after = dict(best)
+                        after[state] = (total, (link, meant) if meant else link)
             paths = after
-        return " ".join(max(paths.values(), key=lambda x: (x[0], x[1]))[1].split())
+        best = max(score for score, _ in paths.values())
+        return max(" ".join(_read(link).split()) for score, link in paths.values() if score == best)
 
-    def reading(self, span: str) -> str:
+    def reading(self, span: str, spaced: bool) -> str:
+        if len(span) > 64:  # seldom repeated
+            return self.decode(span, spaced)
         if len(self.known) > 100_000:
             self.known.clear()
-        if span not in self.known:
-            self.known[span] = self.decode(span)
-        return self.known[span]
+        if (span, spaced) not in self.known:
+            self.known[span, spaced] = self.decode(span, spaced)
+        return self.known[span, spaced]
 
     def restore(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The restored text and the spans replaced, with their readings."""
@@ -185,16 +195,13 @@ class Restorer:
             a, b = match.span()
             if a < done:
                 continue
-            if not any(c in " .-_" for c in match.group()):  # a whole word, not a spaced run
+            spaced = any(c in " .-_" for c in match.group())
+            if not spaced:  # a whole word, not a spaced run
                 while a > done and not text[a - 1].isspace():
                     a -= 1
                 while b < len(text) and not text[b].isspace():
                     b += 1
-            if b - a > 64:  # longer than any disguised word: read in pieces of whole characters
-                readings = [self.reading(text[i : i + 64]) for i in range(a, b, 64)]
-                reading = " ".join(readings)
-            else:
-                reading = self.reading(text[a:b])
+            reading = self.reading(text[a:b], spaced)
             if reading != text[a:b].lower():
                 spans.append((a, b, reading))
                 parts += [text[done:a], " ", reading, " "]

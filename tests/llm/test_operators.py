@@ -172,6 +172,24 @@ def test_disguised_words_are_restored_and_scored(session):
     assert all(r.score < 0.3 for r in toxicity.score(docs, none, keep=["doc_id"]).collect())
 
 
+def restorer():
+    """Reads with the letters of a few words, as often as each would be in many texts."""
+    text = "balo stupid termin moron sober idiot lomin ass terso fuck minba " * 200
+    s = np.frombuffer(b"\0" + toxicity.folded(text), np.uint8).astype(np.int64)
+    code = ((s[:-3] * 27 + s[1:-2]) * 27 + s[2:-1]) * 27 + s[3:]
+    codes, counts = np.unique(code, return_counts=True)
+    return toxicity.Restorer(toxicity.CharacterModel.of_counts(codes, counts).log_p)
+
+
+def test_long_spans_are_read_whole():
+    words = ["balo", "stupid", "termin", "moron", "sober", "idiot"] * 4
+    assert restorer().restore(" ".join("".join(words)))[0].split() == words
+    for pad in range(0, 70, 5):  # a word may stand anywhere
+        assert "stupid" in restorer().restore("lomin" * (pad // 5) + "-stup1d-" + "minba" * 20)[0].split()
+    # Work grows with the length, not its square.
+    assert restorer().restore(" ".join("stupid" * 5000))[0].split() == ["stupid"] * 5000
+
+
 def test_languages(session):
     draw = random.Random(6)
     parts = {"xa": ["the", "ing", "and"], "xb": ["der", "ung", "sch"], "xc": ["ção", "que", "los"]}
