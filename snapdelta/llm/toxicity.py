@@ -2,7 +2,8 @@
 
 Disguise is seen as a noisy channel: a writer means letters, and the channel replaces
 some by look-alikes (``m0r0n``), puts spaces or marks between them (``s t u p i d``) or
-repeats them (``stuuupid``). Each suspicious span becomes a lattice of the letters that
+repeats them (``stuuupid``). Each word with a look-alike or a doubled letter, numbers
+excepted, and each run of single characters becomes a lattice of the letters that
 may have been meant, and a Viterbi search finds the likeliest reading under a character
 model of order four, whose counts come from all texts. Then the words of the restored
 text, and their beginnings, are looked up among the features that a bounded sample of
@@ -43,11 +44,12 @@ SUBSTITUTED, DROPPED, KEPT_APART, REPEATED = -1.0, -2.5, -1.5, -0.7
 
 _LOOK = re.escape("".join(LOOK_ALIKES))
 _LETTER = r"[^\W\d_]"
-_SUSPICIOUS = re.compile(
-    rf"{_LETTER}[{_LOOK}]{{1,2}}{_LETTER}|(?<!\S)[0-9@$]{{1,2}}{_LETTER}|{_LETTER}[0-9@$]{{1,2}}(?!\S)"
-    rf"|({_LETTER})\1\1"
-    rf"|(?<!\w)\w(?:[ .\-_*][\w@$!]){{3,}}(?!\w)"
-)
+# A word with one of these may be disguised, unless it is a number.
+_ODD = re.compile(rf"[{_LOOK}]|(?i:({_LETTER})\1)")
+_NUMBER = re.compile(r"[\W_]*\d[\d\W_]*")
+# Single characters with up to three marks or spaces between them.
+_ONE = r"(?:[^\W_]|[@$]|(?<=[\s./,_-])[!|+(€](?=[\s./,_-]))"
+_APART = re.compile(rf"(?<![^\W_@$]){_ONE}(?:[\W_]{{1,3}}?{_ONE}(?![^\W_@$])){{2,}}")
 
 
 def _folding() -> bytes:
@@ -60,6 +62,7 @@ def _folding() -> bytes:
 
 
 FOLD = _folding()
+_LETTERS = b" " + bytes(range(97, 123)) + bytes(229)
 # Small letters, accents kept; all else a space.
 _WORDS = bytes(
     ord(chr(b).lower()) if chr(b).isalpha() and ord(chr(b).lower()) < 256 else 32 for b in range(256)
@@ -71,6 +74,27 @@ def folded(text: str) -> bytes:
     return text.encode("latin-1", "replace").translate(FOLD)
 
 
+def _suspicious(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Where a disguise may be, in order, and whether it is a run of single characters."""
+    begin = 0
+    for run in [*_APART.finditer(text), None]:
+        if run and not any(c.isalpha() for c in run.group()):
+            continue
+        end = run.start() if run else len(text)
+        while found := _ODD.search(text, begin, end):
+            a, b = found.span()
+            while a > begin and not text[a - 1].isspace():
+                a -= 1
+            while b < end and not text[b].isspace():
+                b += 1
+            begin = b
+            if not _NUMBER.fullmatch(text, a, b):
+                yield a, b, False
+        if run:
+            yield run.start(), run.end(), True
+            begin = run.end()
+
+
 @dataclass(frozen=True)
 class CharacterModel:
     """Log probability of a symbol after three others."""
@@ -118,7 +142,7 @@ def lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
     while i < len(span):
         letter = span[i]
         run = 1
-        while i + run < len(span) and span[i + run] == letter:
+        while i + run < len(span) and span[i + run].lower() == letter.lower():
             run += 1
         plain = FOLD[ord(letter)] if ord(letter) < 256 else 0
         if plain:
@@ -127,15 +151,17 @@ def lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
                 places.append([(name, REPEATED), (2 * name, REPEATED)])
             else:
                 places.append([(run * name, 0.0)] if run == 1 else [(2 * name, 0.0), (name, 2 * REPEATED)])
-        elif letter in LOOK_ALIKES and not (spaced and letter == "*"):
+        elif letter in LOOK_ALIKES:
+            apart = spaced and not letter.isdigit() and letter not in "@$"  # may stand between letters, too
             for _ in range(run):
                 meant = LOOK_ALIKES[letter]
                 share = SUBSTITUTED - math.log(len(meant))
-                places.append([(c, share) for c in meant] + [("", DROPPED), (" ", DROPPED)])
-        elif letter in " .-_*":
-            places.append([("", -0.3), (" ", KEPT_APART)] if spaced else [(" ", 0.0), ("", DROPPED)])
+                none = [("", -0.3), (" ", KEPT_APART)] if apart else [("", DROPPED), (" ", DROPPED)]
+                places.append([(c, share) for c in meant] + none)
+        elif spaced and not letter.isalnum():
+            places.append([("", -0.3), (" ", KEPT_APART)])
         else:
-            places.append([(" ", 0.0)])
+            places.append([(" ", 0.0), ("", DROPPED)] if letter in " .-_" else [(" ", 0.0)])
         i += run
     return places
 
@@ -191,18 +217,9 @@ class Restorer:
         """The restored text and the spans replaced, with their readings."""
         spans: list[tuple[int, int, str]] = []
         parts, done = [], 0
-        for match in _SUSPICIOUS.finditer(text):
-            a, b = match.span()
-            if a < done:
-                continue
-            spaced = any(c in " .-_" for c in match.group())
-            if not spaced:  # a whole word, not a spaced run
-                while a > done and not text[a - 1].isspace():
-                    a -= 1
-                while b < len(text) and not text[b].isspace():
-                    b += 1
+        for a, b, spaced in _suspicious(text):
             reading = self.reading(text[a:b], spaced)
-            if reading != text[a:b].lower():
+            if reading.split() != folded(text[a:b]).translate(_LETTERS).decode().split():
                 spans.append((a, b, reading))
                 parts += [text[done:a], " ", reading, " "]
                 done = b
@@ -237,8 +254,8 @@ class _Scorer:
         """Toxic words, the strongest one's log likelihood ratio, and spans restored."""
         restored, spans = self.restorer.restore(text)
         words = words_of(restored)
-        if spans:  # the plain reading counts as well
-            words += words_of(text)
+        for a, b, _ in spans:  # the plain reading counts as well
+            words += words_of(text[a:b])
         toxic = self.model.toxic_features
         hits, strongest = 0, 0.0
         for word, n in Counter(words).items():

@@ -190,6 +190,24 @@ def test_long_spans_are_read_whole():
     assert restorer().restore(" ".join("stupid" * 5000))[0].split() == ["stupid"] * 5000
 
 
+@pytest.mark.parametrize("disguised, plain", [
+    ("m0r0n", "moron"), ("1d10t", "idiot"), ("1d107", "idiot"), ("!diot", "idiot"), ("|diot", "idiot"), ("(1d107)", "idiot"),
+    ('"1diot"', "idiot"), ("a$$.", "ass"), ("@$$", "ass"), ("50b3r", "sober"), ("f***k", "fuck"), ("+ermin", "termin"),
+    ("stuupid", "stupid"), ("iiddiioott", "idiot"), ("StUuUpiD", "stupid"), ("i  d  i  o  t", "idiot"),
+    ("i/d/i/o/t", "idiot"), ("i|d|i|o|t", "idiot"), ("a s s", "ass"), ("(i d i o t)", "idiot"), ("s t u p ! d", "stupid"),
+])
+def test_disguises_are_undone(disguised, plain):
+    if disguised == "f***k":  # three marks for two letters, of which one is no vowel
+        assert restorer().restore(disguised)[1]
+    else:
+        assert toxicity.words_of(restorer().restore(f"balo {disguised} termin")[0]) == [w.encode() for w in ("balo", plain, "termin")]
+
+
+def test_plain_words_and_numbers_are_left():
+    text = "balo! ass, termin 2019 1.5 (12) 3/4 $400 lomin. 1 2 3 4"
+    assert restorer().restore(text) == (text, [])
+
+
 def test_languages(session):
     draw = random.Random(6)
     parts = {"xa": ["the", "ing", "and"], "xb": ["der", "ung", "sch"], "xc": ["ção", "que", "los"]}
