@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.llm import (
-    bpe_codec, chat_format, jaccard_join, language_id, source_mix, token_counts, topk_search, toxicity,
-    vector_search, warc_store,
+    bpe_codec, chat_format, embedding_whitening, jaccard_join, language_id, lm_scoring, merkle_manifest, source_mix,
+    token_counts, topk_search, toxicity, vector_search, warc_store,
 )
 from snapdelta.llm.arrow_tasks import in_fold, read_table
 
@@ -91,6 +91,35 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    documents = read_table(spark, sf_dir, "documents").select(*fields)
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")
+    tampered = merkle_manifest.digest(*[more if f == "n_chars" else F.col(f) for f in fields])
+    is_tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    proofs = merkle_manifest.manifest(
+        documents, fields, extra={"changed": F.when(is_tampered, tampered)}
+    ).withColumn("folded_root", merkle_manifest.folded(F.coalesce("changed", "leaf"), F.col("steps")))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle_manifest.siblings_digest(F.col("steps")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id", 10, 0)
+    # Of the documents to learn from, a twentieth tunes the weights.
+    tunes = F.coalesce(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 10) % 20 == 0, F.lit(False))
+    rows = documents.select("doc_id", held_out.alias("held_out"), tunes.alias("tunes"), "text")
+    trained = lm_scoring.train(rows, ~F.col("held_out"), F.col("tunes"), keep=["doc_id", "held_out"], order=3)
+    return lm_scoring.score(trained).withColumn("train_tokens", F.lit(trained.model.n_tokens).cast("long"))
+
+
 def make_importable(spark: SparkSession) -> None:
     """Puts this repository on the path of the session's Python workers."""
     environment = spark.sparkContext.environment
@@ -119,6 +148,9 @@ def queries() -> dict[str, Query]:
         op8_topk_search,
         op9_nearest_vectors,
         op10_source_mix,
+        op11_merkle_manifest,
+        op12_embedding_whitening,
+        op13_lm_scoring,
     ]
     return {query.__name__: _importable(query) for query in found}
 
@@ -175,4 +207,69 @@ def oracle_sql() -> dict[str, str]:
               SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores
             )
             SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+        "op11_merkle_manifest": r"""
+            WITH RECURSIVE rows AS (
+              SELECT doc_id, lang,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+                  || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail
+              FROM documents
+            ), leaves AS (
+              SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS changed
+              FROM rows
+            ), placed AS (
+              SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+            ), levels AS (
+              SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY lang
+              UNION ALL
+              SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2),
+                lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+              FROM levels WHERE len(nodes) > 1
+            ), subroots AS (
+              SELECT lang, nodes[1] AS subroot,
+                row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place
+              FROM levels WHERE len(nodes) = 1
+            ), tops AS (
+              SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+              UNION ALL
+              SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2),
+                lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+              FROM tops WHERE len(nodes) > 1
+            ), beside AS (
+              SELECT p.doc_id, p.leaf, p.place AS row_place, l.level, p.lang,
+                (p.place >> CAST(l.level AS INTEGER)) & 1 AS is_right,
+                l.nodes[xor(p.place >> CAST(l.level AS INTEGER), 1) + 1] AS sibling
+              FROM placed p JOIN levels l ON p.lang IS NOT DISTINCT FROM l.lang WHERE len(l.nodes) > 1
+              UNION ALL
+              SELECT p.doc_id, p.leaf, p.place, 1000 + t.level, p.lang,
+                (s.place >> CAST(t.level AS INTEGER)) & 1, t.nodes[xor(s.place >> CAST(t.level AS INTEGER), 1) + 1]
+              FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang, tops t WHERE len(t.nodes) > 1
+            ), proofs AS (
+              SELECT lang, row_place, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY level)) AS proof_sha256,
+                list({'r': is_right, 'h': coalesce(sibling, '')} ORDER BY level) AS steps
+              FROM beside GROUP BY lang, row_place
+            ), started AS (
+              SELECT p.doc_id, p.lang, p.place, p.leaf, f.proof_sha256, coalesce(f.steps, []) AS steps,
+                CASE WHEN crc = 0 THEN p.changed ELSE p.leaf END AS node
+              FROM (
+                SELECT *, xor(4294967295, list_reduce(
+                  [4294967295] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+                    lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+                  lambda c, letter: list_reduce([xor(c, letter)] || range(0, 8),
+                    lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END))) % 7 AS crc
+                FROM placed
+              ) p LEFT JOIN proofs f ON p.lang IS NOT DISTINCT FROM f.lang AND p.place = f.row_place
+            ), folding AS (
+              SELECT lang, place, 0 AS step, steps, node FROM started
+              UNION ALL
+              SELECT lang, place, step + 1, steps,
+                sha256(CASE WHEN steps[step + 1].r = 1 THEN steps[step + 1].h || node ELSE node || steps[step + 1].h END)
+              FROM folding WHERE step < len(steps)
+            )
+            SELECT s.doc_id, s.leaf, b.subroot, t.nodes[1] AS root, coalesce(s.proof_sha256, sha256('')) AS proof_sha256,
+              g.node AS folded_root, g.node = t.nodes[1] AS verified
+            FROM started s JOIN subroots b ON s.lang IS NOT DISTINCT FROM b.lang
+              JOIN folding g ON s.lang IS NOT DISTINCT FROM g.lang AND s.place = g.place AND g.step = len(g.steps),
+              (SELECT nodes FROM tops WHERE len(nodes) = 1) t""",
     }
