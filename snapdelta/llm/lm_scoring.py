@@ -45,8 +45,8 @@ from pyspark.sql import types as T
 from snapdelta.llm.arrow_tasks import small_batches
 from snapdelta.sources.shared_storage import stored
 
-UNIT_TOKENS = 1_500_000
-BUCKET_KEYS = 3_000_000
+UNIT_TOKENS = 900_000
+BUCKET_KEYS = 2_000_000
 KEY_BITS = 56
 COUNT_CLASSES = 40
 _FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -160,31 +160,31 @@ class _Grams:
         hashes = np.concatenate([np.frombuffer(words, np.uint64), [_START, _END]])
         spans = lengths + order + 1
         ends = np.cumsum(spans)
-        stream = np.full(int(spans.sum()), len(hashes) - 2)
+        stream = np.full(int(spans.sum()), len(hashes) - 2, np.int32)
         inside = np.ones(len(stream), bool)
         starts = ends - spans
         for k in range(order):
             inside[starts + k] = False
         inside[ends - 1] = False
-        stream[inside] = unpack(ids).astype(np.int64)
+        stream[inside] = unpack(ids).astype(np.int32)
         stream[ends - 1] = len(hashes) - 1
         placed = np.ones(len(stream), bool)
         for k in range(order - 1):
             placed[starts + k] = False
-        self.places = np.flatnonzero(placed)
         # Among the places, the first of each text is its start mark.
         self.n_places = lengths + 2
-        self.is_token = np.ones(len(self.places), bool)
+        self.is_token = np.ones(int(self.n_places.sum()), bool)
         self.is_token[np.cumsum(self.n_places) - self.n_places] = False
-        self.of_text = np.repeat(np.arange(len(lengths)), self.n_places)
-        self.trains = np.isin(self.kinds, (MAIN, TUNING))[self.of_text]
+        self.trains = np.repeat(np.isin(self.kinds, (MAIN, TUNING)), self.n_places)
         self.keys, self.at = [], []
         value = np.zeros(len(stream), np.uint64)
         for k in range(order):
-            value = hashes[stream] + np.concatenate([np.zeros(1, np.uint64), value[:-1]]) * _FACTOR
-            distinct, at = np.unique(_key(value[self.places], k), return_inverse=True)
+            value[1:] = value[:-1] * _FACTOR
+            value[0] = 0
+            value += hashes[stream]
+            distinct, at = np.unique(_key(value[placed], k), return_inverse=True)
             self.keys.append(distinct)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
 
     def counts(self, k: int) -> np.ndarray:
         return np.bincount(self.at[k], weights=self.trains, minlength=len(self.keys[k])).astype(np.uint64)
