@@ -7,6 +7,8 @@ and lines are numbered by a window.
 
 from __future__ import annotations
 
+import re
+
 _SCHEMA_CASE = (
     "case when {k} % 50 = 7 then 'pg_catalog' when {k} % 50 = 8 then 'information_schema' "
     "else concat('s', cast({k} % 5 as string)) end"
@@ -17,7 +19,16 @@ _VIEW_SCHEMA = _SCHEMA_CASE.format(k="c_custkey")
 
 # Each relation: (name, SQL). Later ones may use earlier ones.
 _RELATIONS: list[tuple[str, str]] = [
-    ("snapshots", "select r_regionkey snapshot_id, r_name name from region"),
+    (
+        "schema_scope",
+        """select r_regionkey snapshot_id,
+          case when r_regionkey > 0 then concat('s', cast(r_regionkey as string)) end
+            schema_name from region""",
+    ),
+    (
+        "snapshots",
+        "select r_regionkey snapshot_id, r_name name, null::varchar schema_name from region",
+    ),
     ("pairs", "select 0 source_id, r_regionkey target_id from region where r_regionkey > 0"),
     (
         "cat_columns",
@@ -320,10 +331,11 @@ _RELATIONS: list[tuple[str, str]] = [
           null::varchar as language, null::varchar return_type, null::bigint oid,
           0 is_child, null::varchar child_name, null::int child_rank,
           null::int ordinal_position, line
-        from (select s.snapshot_id, count(o.snapshot_id) n from snapshots s
+        from (select s.snapshot_id, s.schema_name, count(o.snapshot_id) n from snapshots s
           left join objects o on o.snapshot_id = s.snapshot_id group by all) c,
-          lateral (values (0, '=== Database Schema ==='),
-            (1, concat('Total objects: ', cast(c.n as string)))) t(sub, line)
+          lateral (values (0, '=== Database Schema ==='), (1, 'Schema: ' || c.schema_name),
+            (2, concat('Total objects: ', cast(c.n as string)))) t(sub, line)
+        where line is not null
         union all
         select o.snapshot_id, 1, sub, o.object_name, o.kind_rank, o.table_rank,
           o.schema_name, o.arguments, o.language, o.return_type, o.oid, 0, null, null, null,
@@ -412,10 +424,42 @@ _RELATIONS: list[tuple[str, str]] = [
         from diff_lines""",
     ),
     (
-        "schema_scope",
-        """select r_regionkey snapshot_id,
-          case when r_regionkey > 0 then concat('s', cast(r_regionkey as string)) end
-            schema_name from region""",
+        "node_lines",
+        """select snapshot_id, object_name, kind_rank, is_child, child_name, child_rank,
+          line, line_no, sum(1 - is_child) over (partition by snapshot_id order by line_no)
+            object_place
+        from (select *, row_number() over (partition by snapshot_id order by part,
+            object_name, kind_rank, table_rank, schema_name, arguments, language,
+            return_type, oid, is_child, child_name, child_rank, ordinal_position, sub) line_no
+          from schema_lines) t
+        where part = 1 and (is_child = 1 or sub = 1)""",
+    ),
+    (
+        "ranked_nodes",
+        """select *, row_number() over (partition by snapshot_id, object_name, kind_rank,
+          object_no, is_child, child_name, child_rank order by line_no) child_no
+        from (select *, object_place - min(object_place) over (partition by snapshot_id,
+          object_name, kind_rank) object_no from node_lines) t""",
+    ),
+    (
+        "aligned",
+        """select coalesce(l.source_id, r.source_id) source_id,
+          coalesce(l.target_id, r.target_id) target_id,
+          coalesce(l.object_name, r.object_name) object_name,
+          coalesce(l.kind_rank, r.kind_rank) kind_rank,
+          coalesce(l.object_no, r.object_no) object_no,
+          coalesce(l.is_child, r.is_child) is_child,
+          coalesce(l.child_name, r.child_name) child_name,
+          coalesce(l.child_rank, r.child_rank) child_rank,
+          coalesce(l.child_no, r.child_no) child_no, coalesce(l.line, r.line) line,
+          l.line_no left_line, r.line_no right_line
+        from (select * from pairs join ranked_nodes on snapshot_id = source_id) l
+        full outer join (select * from pairs join ranked_nodes on snapshot_id = target_id) r
+          on l.source_id = r.source_id and l.target_id = r.target_id
+          and l.object_name = r.object_name and l.kind_rank = r.kind_rank
+          and l.object_no = r.object_no and l.is_child = r.is_child
+          and l.child_name is not distinct from r.child_name
+          and l.child_rank is not distinct from r.child_rank and l.child_no = r.child_no""",
     ),
 ]
 
@@ -471,11 +515,80 @@ _SELECTS: dict[str, str] = {
       group by all""",
     "schema_text": "select * from schema_text",
     "diff_text": "select * from diff_text",
-    "text_round_trip": """select snapshot_id, line, count(*) n from schema_text
-      group by all""",
+    "text_round_trip": "select * from schema_text",
+    "diff_text_round_trip": "select * from diff_text",
+    "tree_text": """select source_id, target_id, row_number() over (partition by source_id,
+        target_id order by object_name, kind_rank, object_no, is_child, child_name nulls first,
+        child_rank nulls first, child_no) line_no,
+      case when right_line is null then 'left_only' when left_line is null then 'right_only'
+        else 'both' end side, left_line, right_line, line from aligned""",
+    "diff_summary_scoped": "select source_id, target_id, status, n from diff_counts",
+    "schema_text_scoped": "select * from schema_text",
+    "catalog_faults": " union all ".join(
+        f"""select snapshot_id, '{relation}' relation, '{field}' field, count(*) n_rows,
+        count(*) - count({field}) n_missing from {source} group by snapshot_id"""
+        for relation, source, fields in [
+            ("columns", "cat_columns where table_schema not in ('pg_catalog', 'information_schema')",
+             ["table_name", "column_name", "data_type", "is_nullable", "ordinal_position"]),
+            ("indexes", "cat_indexes where schemaname not in ('pg_catalog', 'information_schema')",
+             ["tablename", "indexname", "indexdef"]),
+            ("table_constraints",
+             "cat_table_constraints where table_schema not in ('pg_catalog', 'information_schema')",
+             ["table_name", "constraint_name", "constraint_type"]),
+            ("views", "cat_views where table_schema not in ('pg_catalog', 'information_schema')",
+             ["table_name"]),
+            ("sequences",
+             "cat_sequences where sequence_schema not in ('pg_catalog', 'information_schema')",
+             ["sequence_name", "data_type", "start_value", "increment"]),
+            ("proc", "(select snapshot_id, proname, arguments, language as lanname from routines) t",
+             ["proname", "arguments", "lanname"]),
+            ("proc", "routines where prokind = 'f'", ["return_type"]),
+        ]
+        for field in fields
+    ),
+}
+
+# Relations that several others read: computed once.
+_SHARED = {
+    "m_columns", "m_constraints", "table_children", "children", "objects", "latest", "modified",
+    "one_sided", "schema_lines", "schema_text", "ranked_nodes",
 }
+# What names the schema of an entry, for queries restricted to a schema per snapshot.
+_SCHEMA_COLUMNS = {
+    "cat_columns": "table_schema", "cat_indexes": "schemaname",
+    "cat_table_constraints": "table_schema", "cat_views": "table_schema",
+    "cat_namespace": "nspname", "cat_sequences": "sequence_schema",
+}
+_SCOPED = {"diff_summary_scoped", "schema_text_scoped"}
+
+
+def _scoped_relations() -> list[tuple[str, str]]:
+    found = []
+    for name, sql in _RELATIONS:
+        if name == "snapshots":
+            sql = "select r_regionkey snapshot_id, r_name name, schema_name from region join schema_scope on snapshot_id = r_regionkey"
+        if name not in _SCHEMA_COLUMNS:
+            found.append((name, sql))
+            continue
+        found.append((f"all_{name}", sql))
+        found.append((name, f"""select a.* from all_{name} a
+          join schema_scope s on s.snapshot_id = a.snapshot_id
+          where s.schema_name is null or s.schema_name = a.{_SCHEMA_COLUMNS[name]}"""))
+    return found
+
+
+def _with(relations: list[tuple[str, str]], final: str) -> str:
+    """The query with the relations it needs, directly or through others."""
+    used, text = [], final
+    for name, sql in reversed(relations):
+        if re.search(rf"\b{name}\b", text):
+            used.append(f"{name} as {'materialized ' if name in _SHARED else ''}({sql})")
+            text += f"\n{sql}"
+    return f"with {',\n'.join(reversed(used))}\n{final}"
 
 
 def oracle_sql() -> dict[str, str]:
-    relations = ",\n".join(f"{name} as ({sql})" for name, sql in _RELATIONS)
-    return {name: f"with {relations}\n{final}" for name, final in _SELECTS.items()}
+    return {
+        name: _with(_scoped_relations() if name in _SCOPED else _RELATIONS, final)
+        for name, final in _SELECTS.items()
+    }

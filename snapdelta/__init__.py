@@ -8,6 +8,7 @@ the differences of snapshot pairs and sorted text reports come out.
 from snapdelta.operators.compare import (
     compare,
     name_changes,
+    name_heads,
     pair_sides,
     summary,
     tree_diff,
@@ -18,28 +19,33 @@ from snapdelta.operators.report import (
     numbered_lines,
     schema_rows,
 )
-from snapdelta.plans.comparison import Model, build_model
-from snapdelta.sources.catalog import Catalog, read_catalog
-from snapdelta.sources.text_sink import report_dir, write_reports, write_text
+from snapdelta.operators.tree import side_by_side
+from snapdelta.plans.comparison import Comparison, Model, build_model
+from snapdelta.sources.catalog import Catalog, land, read_catalog
+from snapdelta.sources.text_sink import read_lines, report_dir, write_text
 
 __all__ = [
     "Catalog",
+    "Comparison",
     "Model",
     "build_model",
     "children",
     "compare",
     "diff_rows",
+    "land",
     "latest",
     "name_changes",
+    "name_heads",
     "numbered_lines",
     "object_counts",
     "objects",
     "pair_sides",
     "read_catalog",
+    "read_lines",
     "report_dir",
     "schema_rows",
+    "side_by_side",
     "summary",
     "tree_diff",
-    "write_reports",
     "write_text",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,23 +65,54 @@ def ordered_key_columns() -> Column:
     )
 
 
-def in_scope(
-    df: DataFrame, schema_column: str, schema: str | DataFrame | None = None
-) -> DataFrame:
+@dataclass(frozen=True)
+class Wanted:
+    """The snapshots and schemas of one run, resolved once and stored.
+
+    ``rows`` has one row per known snapshot: ``snapshot_id, schema_name, taking_part``.
+    Only snapshots with ``taking_part = 1`` are read. ``name`` is the schema of all of
+    them, if it is one; else ``own_schemas`` says whether ``schema_name`` restricts them.
+    """
+
+    rows: DataFrame
+    name: str | None = None
+    own_schemas: bool = False
+
+
+Scope = str | DataFrame | Wanted | None
+
+
+def taking_part(df: DataFrame, scope: Scope) -> DataFrame:
+    """The rows of the snapshots that take part; a filter on partitions where ``df`` was
+    landed by snapshot."""
+    if not isinstance(scope, Wanted):
+        return df
+    ids = scope.rows.where(F.col("taking_part") == 1).select("snapshot_id")
+    return df.join(ids, "snapshot_id", "left_semi")
+
+
+def in_scope(df: DataFrame, schema_column: str, scope: Scope = None) -> DataFrame:
     """Rows outside the system schemas and, if asked for, inside one schema.
 
-    ``schema`` is a name for all snapshots, or a relation with one row per
-    wanted snapshot: ``snapshot_id, schema_name`` (null name = every schema). Repeated
-    equal rows count once; two names for one snapshot fail the job.
+    ``scope`` is a name for all snapshots, the resolved scope of a run, or a relation
+    ``snapshot_id, schema_name`` of the wanted snapshots (null name = every schema).
+    Repeated equal rows of it count once; two names for one snapshot fail the job.
     """
     kept = df.where(~F.col(schema_column).isin(*SYSTEM_SCHEMAS))
-    if schema is None:
+    if scope is None:
         return kept
-    if isinstance(schema, str):
-        return kept.where(F.col(schema_column) == schema)
-    wanted = one_scope_each(schema).withColumnRenamed("schema_name", "_wanted")
+    if isinstance(scope, str):
+        return kept.where(F.col(schema_column) == scope)
+    if isinstance(scope, Wanted):
+        if scope.name is not None:
+            kept = kept.where(F.col(schema_column) == scope.name)
+        if not scope.own_schemas:
+            return taking_part(kept, scope)
+        wanted = scope.rows.where(F.col("taking_part") == 1).drop("taking_part")
+    else:
+        wanted = one_scope_each(scope)
     return (
-        kept.join(wanted, "snapshot_id")
+        kept.join(wanted.withColumnRenamed("schema_name", "_wanted"), "snapshot_id")
         .where(F.col("_wanted").isNull() | (F.col("_wanted") == F.col(schema_column)))
         .drop("_wanted")
     )

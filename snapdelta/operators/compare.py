@@ -11,20 +11,16 @@ PAIR = ["source_id", "target_id"]
 # The three kinds of difference, in report order.
 STATUSES = ("added", "removed", "modified")
 
+_CONTENT_SEEDS = (11, 12)
 _ENTRY = LAST_WINS + ["type", "n_columns", "n_indexes", "n_constraints", "fingerprint"]
 
 
-def pair_sides(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
+def pair_sides(pairs: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """Two rows per distinct pair: the snapshots on its old and on its new side.
 
-    The job fails on a pair that names an unknown snapshot.
+    With ``snapshots``, the job fails on a pair that names an unknown one.
     """
-    known = snapshots.select(F.col("snapshot_id").alias("_known")).distinct()
-    unknown = F.concat(
-        F.lit("pair names an unknown snapshot: "),
-        F.coalesce(F.col("side.snapshot_id").cast("string"), F.lit("null")),
-    )
-    return (
+    sides = (
         pairs.select(*PAIR)
         .distinct()
         .select(
@@ -40,45 +36,78 @@ def pair_sides(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
                 )
             ).alias("side"),
         )
-        .join(known, F.col("side.snapshot_id") == F.col("_known"), "left")
-        .select(
-            *PAIR,
-            F.coalesce("_known", F.raise_error(unknown)).alias("snapshot_id"),
-            "side.is_old",
-        )
+        .select(*PAIR, "side.*")
+    )
+    if snapshots is None:
+        return sides
+    known = snapshots.select(F.col("snapshot_id").alias("_known")).distinct()
+    return sides.join(known, F.col("snapshot_id") == F.col("_known"), "left").select(
+        *PAIR,
+        F.coalesce("_known", F.raise_error(unknown_snapshot())).alias("snapshot_id"),
+        "is_old",
     )
 
 
-def _content(entry: str) -> Column:
-    return F.struct(*[F.col(f"{entry}.{f}") for f in CONTENT_FIELDS + ["fingerprint"]])
+def unknown_snapshot(snapshot_id: str = "snapshot_id") -> Column:
+    return F.concat(
+        F.lit("pair names an unknown snapshot: "),
+        F.coalesce(F.col(snapshot_id).cast("string"), F.lit("null")),
+    )
 
 
-def name_changes(objects: DataFrame, pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row per pair and name that differs.
+def name_heads(objects: DataFrame) -> DataFrame:
+    """One row per snapshot and name: how many objects bear it, and the one that holds it.
 
-    ``old`` and ``new`` are the objects that hold the name on each side, ``n_old``
-    and ``n_new`` how many objects bear it. One aggregation answers everything:
-    several objects of one name are reduced before the shuffle, and only object
-    rows of bounded width are repeated per pair, never their children.
+    ``content`` are two hashes of all that equality looks at. Several objects of one name
+    are reduced before the shuffle.
+    """
+    fields = [F.col(f"entry.{f}") for f in CONTENT_FIELDS]
+    # A hash passes over nulls, so where they stand is hashed as well.
+    held = [*fields, *[F.isnull(f) for f in fields], F.col("entry.fingerprint")]
+    return (
+        objects.groupBy("snapshot_id", "name")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*_ENTRY)).alias("entry"))
+        .select(
+            "snapshot_id", "name", "n", "entry",
+            *[
+                F.xxhash64(F.lit(seed), *held).alias(f"content{i}")
+                for i, seed in enumerate(_CONTENT_SEEDS)
+            ],
+        )
+    )
+
+
+def name_changes(heads: DataFrame, sides: DataFrame) -> DataFrame:
+    """One row per pair and name that differs, with its ``status``, ``n_old`` and ``n_new``.
+
+    ``heads`` are the rows of :func:`name_heads`, ``sides`` those of :func:`pair_sides`. A
+    snapshot is reduced to its heads once, however many pairs name it; only a name, a
+    count and two hashes are repeated per pair, and added up by hashing.
     """
-    entry = F.struct(*_ENTRY)
     is_old = F.col("is_old")
+    contents = ("content0", "content1")
+    # A side has one row per name, so a sum stands for its value.
+    differ = F.lit(False)
+    for c in contents:
+        differ = differ | (F.col(f"old_{c}") != F.col(f"new_{c}"))
     status = (
         F.when(F.col("n_old") == 0, "added")
         .when(F.col("n_new") == 0, "removed")
-        .when(~_content("old").eqNullSafe(_content("new")), "modified")
+        .when(differ, "modified")
     )
     return (
-        objects.join(pair_sides(pairs, snapshots), "snapshot_id")
+        heads.select("snapshot_id", "name", "n", *contents)
+        .join(sides, "snapshot_id")
         .groupBy(*PAIR, "name")
         .agg(
-            F.max(F.when(is_old, entry)).alias("old"),
-            F.max(F.when(~is_old, entry)).alias("new"),
-            F.count_if(is_old).alias("n_old"),
-            F.count_if(~is_old).alias("n_new"),
+            F.sum(F.when(is_old, F.col("n")).otherwise(0)).alias("n_old"),
+            F.sum(F.when(~is_old, F.col("n")).otherwise(0)).alias("n_new"),
+            *[F.bit_xor(F.when(is_old, F.col(c))).alias(f"old_{c}") for c in contents],
+            *[F.bit_xor(F.when(~is_old, F.col(c))).alias(f"new_{c}") for c in contents],
         )
         .withColumn("status", status)
         .where(F.col("status").isNotNull())
+        .select(*PAIR, "name", "status", "n_old", "n_new")
     )
 
 
@@ -102,16 +131,24 @@ def summary(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def compare(objects: DataFrame, pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
+def compare(objects: DataFrame, sides: DataFrame) -> DataFrame:
     """All differing objects: ``source_id, target_id, status, name, old, new``.
 
     Every object of an added or removed name is listed; of a modified name, the
-    one that holds it on each side. ``objects`` is read twice: pass stored
+    one that holds it on each side. ``objects`` is read several times: pass stored
     rows (see :mod:`snapdelta.plans.comparison`).
     """
-    changes = name_changes(objects, pairs, snapshots)
-    modified = changes.where(F.col("status") == "modified").select(
-        *PAIR, F.lit("modified").alias("status"), "name", "old", "new"
+    heads = name_heads(objects)
+    changes = name_changes(heads, sides)
+
+    def held(side: str, key: str) -> DataFrame:
+        return heads.select(F.col("snapshot_id").alias(key), "name", F.col("entry").alias(side))
+
+    modified = (
+        changes.where(F.col("status") == "modified")
+        .join(held("old", "source_id"), ["source_id", "name"])
+        .join(held("new", "target_id"), ["target_id", "name"])
+        .select(*PAIR, "status", "name", "old", "new")
     )
     is_added = F.col("status") == "added"
     one_sided = changes.where(F.col("status") != "modified").select(
@@ -131,14 +168,13 @@ def compare(objects: DataFrame, pairs: DataFrame, snapshots: DataFrame) -> DataF
     return listed.unionByName(modified)
 
 
-def tree_diff(
-    objects: DataFrame, children: DataFrame, pairs: DataFrame, snapshots: DataFrame
-) -> DataFrame:
+def tree_diff(objects: DataFrame, children: DataFrame, sides: DataFrame) -> DataFrame:
     """Which ``[TYPE] name`` nodes stand on the left, on the right or on both sides.
 
     Nodes are told apart by kind and unqualified name alone. Equal nodes are
     counted: ``n`` of them have that ``side``. Null child fields (the object's own
-    node) group as equal.
+    node) group as equal. Nodes are counted once per snapshot; the counts, not the
+    children, are repeated per pair.
     """
     node = ["object_name", "object_type", "child_type", "child_name"]
     no_text = F.lit(None).cast("string")
@@ -158,11 +194,13 @@ def tree_diff(
         return F.struct(F.lit(side).alias("side"), n.alias("n"))
 
     return (
-        nodes.join(pair_sides(pairs, snapshots), "snapshot_id")
+        nodes.groupBy("snapshot_id", *node)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(sides, "snapshot_id")
         .groupBy(*PAIR, *node)
         .agg(
-            F.count_if(F.col("is_old")).alias("n_left"),
-            F.count_if(~F.col("is_old")).alias("n_right"),
+            F.sum(F.when(F.col("is_old"), F.col("n")).otherwise(0)).alias("n_left"),
+            F.sum(F.when(~F.col("is_old"), F.col("n")).otherwise(0)).alias("n_right"),
         )
         .select(
             *PAIR,

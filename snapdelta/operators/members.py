@@ -14,15 +14,15 @@ from snapdelta.functions.expressions import (
     KEYED_CONSTRAINTS,
     PROCEDURE_KIND,
     YES,
+    Scope,
     constraint_definition,
     in_scope,
     mentions_unique,
     ordered_key_columns,
     required,
+    taking_part,
 )
 
-Scope = str | DataFrame | None
-
 
 def columns(cat_columns: DataFrame, schema: Scope = None) -> DataFrame:
     """Columns of tables and of views."""
@@ -69,9 +69,12 @@ def constraints(
         required("constraint_type", "constraint_type").alias("constraint_type"),
     )
     shows_keys = F.col("constraint_type").isin(*KEYED_CONSTRAINTS)
+    key_columns = taking_part(key_column_usage, schema).select(
+        *keys, "column_name", "ordinal_position"
+    )
     keyed = (
         listed.where(shows_keys)
-        .join(key_column_usage.select(*keys, "column_name", "ordinal_position"), keys, "left")
+        .join(key_columns, keys, "left")
         .groupBy(*keys, "constraint_type")
         .agg(ordered_key_columns().alias("key_columns"))
     )
@@ -123,12 +126,13 @@ def routines(
         F.col("oid").alias("pronamespace"),
         F.col("nspname").alias("schema_name"),
     )
-    languages = language.select(
+    languages = taking_part(language, schema).select(
         "snapshot_id", F.col("oid").alias("prolang"), F.col("lanname").alias("language")
     )
     is_function = F.col("prokind") == FUNCTION_KIND
     return (
-        proc.where(F.col("prokind").isin(FUNCTION_KIND, PROCEDURE_KIND))
+        taking_part(proc, schema)
+        .where(F.col("prokind").isin(FUNCTION_KIND, PROCEDURE_KIND))
         .join(namespaces, ["snapshot_id", "pronamespace"])
         .join(languages, ["snapshot_id", "prolang"])
         .select(

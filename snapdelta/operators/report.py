@@ -8,6 +8,7 @@ one), so rows with equal keys can be printed in any order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -260,39 +261,50 @@ def ranged(report: Report) -> DataFrame:
     return report.rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def numbered_lines(report: Report) -> DataFrame:
+def numbered_lines(report: Report, carried: Sequence[str] = ()) -> DataFrame:
     """Every line of every report with its number, from 1.
 
     The lines are range-partitioned, sorted and stored once. Each line then knows
     its place in its partition, and only the number of lines per partition and
     report is needed to shift it: no report passes through a single task.
+
+    ``carried`` columns of the rows stay beside their lines. With ``is_node`` among them,
+    it marks the line that names an object or a child (the first, if a name holds line
+    breaks), and ``object_place`` counts the objects of the report up to the line.
     """
-    spark = report.rows.sparkSession
-    lines = stored(
-        ranged(report)
-        .select(*report.key, F.explode(F.split("text", "\n", -1)).alias("line"))
-        .withColumns(
-            {
-                "_place": F.monotonically_increasing_id(),
-                "_range": F.spark_partition_id(),
-            }
-        )
+    rows = ranged(report)
+    with_nodes = "is_node" in carried
+    kept = [c for c in carried if c != "is_node"]
+    lines = rows.select(
+        *report.key, *kept, F.posexplode(F.split("text", "\n", -1)).alias("_at", "line")
     )
+    places = {"_place": F.monotonically_increasing_id(), "_range": F.spark_partition_id()}
+    marks = {}
+    if with_nodes:
+        # An object's heading has a blank line before it.
+        starts = F.col("is_child").isNotNull() & (F.col("_at") == F.when(F.col("is_child"), 0).otherwise(1))
+        marks = {"is_node": starts, "_is_object": (starts & ~F.col("is_child")).cast("int")}
+    lines = stored(lines.withColumns({**places, **marks}).drop("_at"))
+    counted = F.sum("_is_object").alias("_objects") if with_nodes else F.lit(0).alias("_objects")
     # One row per range and report that share lines.
     counts = stored(
         lines.groupBy("_range", *report.key).agg(
-            F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
+            F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"), counted
         )
     )
     key = ", ".join(report.key)
-    offsets = counts.withColumn(
-        "_before",
-        F.expr(
-            f"coalesce(sum(_n) over (partition by {key} order by _range "
+
+    def before(column: str) -> Column:
+        return F.expr(
+            f"coalesce(sum({column}) over (partition by {key} order by _range "
             "rows between unbounded preceding and 1 preceding), 0)"
-        ),
-    ).drop("_n")
+        )
+
+    offsets = counts.withColumns({"_before": before("_n"), "_objects_before": before("_objects")})
+    found = lines.join(offsets.drop("_n", "_objects"), ["_range", *report.key])
     line_no = F.col("_place") - F.col("_first") + F.col("_before") + 1
-    return lines.join(offsets, ["_range", *report.key]).select(
-        *report.key, line_no.alias("line_no"), "line"
-    )
+    out = [*report.key, line_no.alias("line_no"), "line", *carried]
+    if with_nodes:
+        inside = F.expr(f"sum(_is_object) over (partition by _range, {key} order by _place)")
+        out.append((inside + F.col("_objects_before")).alias("object_place"))
+    return found.select(*out)

@@ -6,9 +6,11 @@ the database snapshot the entry belongs to.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Names and types of the relations' columns.
 RELATIONS: dict[str, str] = {
@@ -58,16 +60,6 @@ class Catalog:
     language: DataFrame
     sequences: DataFrame
 
-    def of_snapshots(self, wanted: DataFrame) -> Catalog:
-        """The same relations, only for the snapshots in ``wanted``."""
-        ids = wanted.select("snapshot_id").distinct()
-        return Catalog(
-            **{
-                f.name: getattr(self, f.name).join(ids, "snapshot_id", "left_semi")
-                for f in fields(self)
-            }
-        )
-
 
 def read_catalog(spark: SparkSession, path: str) -> Catalog:
     """Read ``<path>/<relation>`` as Parquet, with the fixed schemas."""
@@ -79,6 +71,55 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
     )
 
 
+# What the entries of a landed relation are sorted by within a snapshot, so that the
+# statistics of files and row groups tell which of them hold a schema or a table.
+_LANDING_ORDER = {
+    "columns": ["table_schema", "table_name", "ordinal_position"],
+    "indexes": ["schemaname", "tablename", "indexname"],
+    "table_constraints": ["table_schema", "table_name", "constraint_name"],
+    "key_column_usage": ["table_schema", "table_name", "constraint_name"],
+    "views": ["table_schema", "table_name"],
+    "proc": ["pronamespace", "proname", "oid"],
+    "namespace": ["oid"],
+    "language": ["oid"],
+    "sequences": ["sequence_schema", "sequence_name"],
+}
+
+
+def land(relations: Mapping[str, DataFrame], path: str) -> None:
+    """Write relations of one or more snapshots below ``path``, for :func:`read_catalog`.
+
+    Each relation is partitioned by snapshot and sorted within. A snapshot that is landed
+    again replaces its entries and leaves those of other snapshots alone; one that has lost
+    all entries of a relation loses its partition. The ranges of the sort cut through a
+    large snapshot, so no task writes it alone. Columns beyond the fixed ones are left out.
+    """
+    snapshots = relations["snapshots"]
+    for name, schema in RELATIONS.items():
+        if name not in relations:
+            continue
+        df = relations[name].select(*[
+            F.col(column).cast(kind).alias(column)
+            for column, kind in (field.split() for field in schema.split(", "))
+        ])
+        order = ["snapshot_id", *_LANDING_ORDER.get(name, [])]
+        writer = (
+            df.repartitionByRange(*order).sortWithinPartitions(*order).write
+            .partitionBy("snapshot_id").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        )
+        writer.parquet(f"{path}/{name}")
+        emptied = snapshots.select("snapshot_id").join(df.select("snapshot_id"), "snapshot_id", "left_anti")
+        _drop_partitions(emptied, f"{path}/{name}")
+
+
+def _drop_partitions(snapshots: DataFrame, path: str) -> None:
+    spark = snapshots.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in snapshots.distinct().toLocalIterator():
+        files.delete(hadoop.Path(f"{path}/snapshot_id={row['snapshot_id']}"), True)
+
+
 def catalog_of(spark: SparkSession, relations: dict[str, list[tuple]]) -> Catalog:
     """A catalog of literal rows; relations left out are empty."""
     return Catalog(

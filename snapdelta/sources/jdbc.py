@@ -4,8 +4,7 @@ Each relation is one Spark JDBC read of a public catalog view; joins, filters an
 grouping happen later, in Spark, for all databases at once. Land each database with
 its own snapshot id and work on the landed files::
 
-    for relation, df in read_database(spark, options, 7, "billing").items():
-        df.write.mode("append").parquet(f"{landing}/{relation}")
+    land(read_database(spark, options, 7, "billing"), landing)
 """
 
 from __future__ import annotations

@@ -219,6 +219,40 @@ def test_tree_diff(model, expected, pairs, pair_list):
         assert got[pair] == wanted, pair
 
 
+def test_tree_text(model, expected, pairs, pair_list):
+    """Both texts in their order, aligned as far as kinds, names and repeats allow."""
+    rows = defaultdict(list)
+    for r in comparison.tree_text(model, pairs).orderBy("source_id", "target_id", "line_no").collect():
+        rows[r["source_id"], r["target_id"]].append(r)
+    texts_of = {s: plain.schema_text(items) for s, items in expected.items()}
+
+    def nodes(items):
+        """Each node of a text as object kind, name and number, child kind, name and number."""
+        seen, found = Counter(), []
+        for item in sorted(items, key=lambda i: i.short):
+            place = (item.type, item.short, seen[item.type, item.short])
+            seen[item.type, item.short] += 1
+            found.append(place)
+            inner = Counter()
+            for child in sorted(item.children, key=lambda c: c.short):
+                found.append((*place, child.type, child.short, inner[child.type, child.short]))
+                inner[child.type, child.short] += 1
+        return found
+
+    for pair in pair_list:
+        got = rows[pair]
+        assert [r["line_no"] for r in got] == list(range(1, len(got) + 1))
+        for at, s in (("left_line", pair[0]), ("right_line", pair[1])):
+            shown = [(r[at], r["line"]) for r in got if r[at] is not None]
+            named = [(n, line) for n, line in enumerate(texts_of[s], 1) if line.lstrip().startswith("[")]
+            assert shown == named, (pair, at)
+        left, right = (set(nodes(expected[s])) for s in pair)
+        sides = Counter(r["side"] for r in got)
+        assert (sides["both"], sides["left_only"], sides["right_only"]) == (
+            len(left & right), len(left - right), len(right - left),
+        ), pair
+
+
 def texts(lines, key):
     got = defaultdict(list)
     for r in lines.orderBy(*key, "line_no").collect():

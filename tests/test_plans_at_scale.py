@@ -1,25 +1,25 @@
 """What the plans must look like, and that they hold when nothing is small."""
 
+import os
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from snapdelta import build_model, latest, numbered_lines
+from snapdelta import build_model, land, latest, numbered_lines
 from snapdelta.operators import report
 from snapdelta.plans import comparison
 from snapdelta.sources.catalog import RELATIONS, catalog_of, read_catalog
 from snapdelta.sources.sample_catalog import catalog_from, pairs_from
+from snapdelta.sources.shared_storage import cleaned_up, stored
 
 
 @pytest.fixture(scope="module")
 def landed(spark, small_sf, tmp_path_factory):
-    """The sample catalog as files, like a real one."""
+    """The sample catalog as landed files, like a real one."""
     path = str(tmp_path_factory.mktemp("landed"))
-    catalog = catalog_from(spark, small_sf)
-    for relation in RELATIONS:
-        getattr(catalog, relation).write.parquet(f"{path}/{relation}")
+    land(vars(catalog_from(spark, small_sf)), path)
     pairs_from(spark, small_sf).write.parquet(f"{path}/pairs")
     return path
 
@@ -61,6 +61,7 @@ def all_results(model, pairs):
         "summary": comparison.diff_summary(model, pairs),
         "diff": comparison.diff(model, pairs),
         "tree": comparison.tree_diff(model, pairs),
+        "tree text": comparison.tree_text(model, pairs),
         "schema text": report.ranged(comparison.schema_report(model)),
         "diff text": report.ranged(comparison.diff_report(model, pairs)),
     }
@@ -111,10 +112,81 @@ def test_same_results_without_broadcasts_and_with_split_keys(model, pairs, setti
     assert rows_of(numbered_lines(comparison.schema_report(model))) == lines
 
 
-def test_numbering_without_broadcast_of_offsets(model, monkeypatch):
-    expected = rows_of(numbered_lines(comparison.schema_report(model)))
-    monkeypatch.setattr(report, "_SMALL_OFFSETS", 0)
-    assert rows_of(numbered_lines(comparison.schema_report(model))) == expected
+def file_scans(df):
+    """``(relation, partition filters)`` of every file scan of a plan."""
+    plan = plan_of(df)
+    return re.findall(r"Location: [^\n]*/(\w+)\][^\n]*\n(?:PartitionFilters: ([^\n]*))?", plan)
+
+
+def test_a_pair_reads_the_partitions_of_its_snapshots_only(spark, model):
+    one = spark.createDataFrame([(1, 2)], "source_id INT, target_id INT")
+    for name, df in (
+        ("summary", comparison.diff_summary(model, one)), ("tree", comparison.tree_diff(model, one)),
+    ):
+        found = dict(file_scans(df))
+        # A tree shows no key columns.
+        landed_relations = set(RELATIONS) - {"snapshots"} - ({"key_column_usage"} if name == "tree" else set())
+        assert landed_relations <= set(found), name
+        for relation in landed_relations:
+            assert "dynamicpruning" in found[relation], (name, relation)
+    read = comparison.diff(model, one)
+    assert {r.source_id for r in read.select("source_id").distinct().collect()} <= {1}
+
+
+def test_the_scope_is_resolved_once(spark, model, pairs):
+    """One tiny table is all that a relation is joined with, and it is not aggregated again."""
+    plan = plan_of(comparison.diff_summary(model, pairs))
+    assert "collect_set" not in plan
+    assert "collect_set" not in plan_of(comparison.tree_diff(model, pairs))
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, model, pairs):
+    """Making the comparison resolves and checks the run; its results are lazy."""
+    run = comparison.Comparison(model, pairs)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may run")
+    try:
+        run.summary(), run.tree_diff(), run.objects, run.children
+        assert list(tracker.getJobIdsForGroup("building")) == []
+        run.summary().collect()
+        assert list(tracker.getJobIdsForGroup("building")) != []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_baseline_of_many_pairs_is_reduced_once(spark, model, pairs):
+    """Pairs are joined to one narrow row per snapshot and name."""
+    plan = comparison.diff_summary(model, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    above_pairs = plan[: plan.index("is_old")]
+    for wide in ("fingerprint", "arguments", "language"):
+        assert wide not in above_pairs.split("Join")[0], wide
+
+
+def test_landing_again_replaces_a_snapshot(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    snapshots = [(1, "one", None), (2, "two", "s")]
+    column = (2, "s", "t", "c", "int", "NO", None, 1)
+    first = catalog_of(spark, {
+        "snapshots": snapshots, "views": [(1, "s", "v"), (2, "s", "w")],
+        "columns": [(1, "s", "t", "c", "int", "NO", None, 1), column],
+    })
+    land(vars(first), path)
+    assert {p.name for p in (tmp_path / "landing" / "views").glob("snap*")} == {"snapshot_id=1", "snapshot_id=2"}
+    again = catalog_of(spark, {"snapshots": snapshots[:1], "views": [(1, "s", "x"), (1, "s", "y")]})
+    land({k: v.withColumn("extra", F.lit(1)) for k, v in vars(again).items()}, path)
+    found = read_catalog(spark, path)
+    assert sorted(map(tuple, found.views.select("snapshot_id", "table_name").collect())) == [(1, "x"), (1, "y"), (2, "w")]
+    assert [tuple(r) for r in found.columns.select(*RELATIONS["columns"].replace(",", "").split()[::2]).collect()] == [column]
+    assert found.snapshots.count() == 2
+    assert found.columns.schema["ordinal_position"].dataType.simpleString() == "int"
+
+
+def test_stored_tables_are_cleaned_up(spark):
+    with cleaned_up(spark):
+        kept = stored(spark.range(3))
+        (file, *_) = kept.inputFiles()
+        assert kept.count() == 3
+    assert not os.path.exists(file.removeprefix("file://"))
 
 
 def hot_catalog(spark, n):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from snapdelta import build_model, diff_rows, latest, numbered_lines, schema_rows
 from snapdelta.operators import members
+from snapdelta.operators.faults import catalog_faults
 from snapdelta.plans import comparison
 from snapdelta.sources.catalog import catalog_of
 
@@ -375,6 +376,57 @@ def test_missing_result_is_an_error_for_functions_only(spark):
         counts(spark, broken)
 
 
+def test_faults_count_every_required_field(spark):
+    rows = {
+        "columns": [(0, "s", "t", "c", None, "YES", None, 1), (0, "s", "t", None, *INT),
+                    (1, "pg_catalog", None, None, None, None, None, None), (1, "s", "t", "c", *INT)],
+        "indexes": [(0, "s", None, None, None)],
+        "table_constraints": [(0, "s", "t", "k", None), (0, "s", None, "k", "CHECK")],
+        "views": [(1, "s", None)],
+        "sequences": [(1, "s", "q", None, "1", "1"), (1, "s", "q", "bigint", None, None)],
+        "namespace": [(0, 1, "s"), (0, 2, "information_schema")],
+        "language": [(0, 1, None), (0, 2, "sql")],
+        "proc": [(0, 1, "f", 1, 1, "f", None, None), (0, 2, None, 1, 2, "p", None, ""),
+                 (0, 3, None, 2, 1, "f", None, None), (0, 4, None, 1, 1, "a", None, None)],
+    }
+    catalog = catalog_of(spark, rows)
+    found = catalog_faults(catalog).collect()
+    assert {(r.snapshot_id, r.relation, r.field): (r.n_rows, r.n_missing) for r in found if r.n_missing} == {
+        (0, "columns", "column_name"): (2, 1), (0, "columns", "data_type"): (2, 1),
+        (0, "indexes", "tablename"): (1, 1), (0, "indexes", "indexname"): (1, 1),
+        (0, "indexes", "indexdef"): (1, 1),
+        (0, "table_constraints", "constraint_type"): (2, 1), (0, "table_constraints", "table_name"): (2, 1),
+        (1, "views", "table_name"): (1, 1),
+        (1, "sequences", "data_type"): (2, 1), (1, "sequences", "start_value"): (2, 1),
+        (1, "sequences", "increment"): (2, 1),
+        (0, "proc", "proname"): (2, 1), (0, "proc", "arguments"): (2, 1), (0, "proc", "lanname"): (2, 1),
+        (0, "proc", "return_type"): (1, 1),
+    }
+    assert len({(r.snapshot_id, r.relation, r.field) for r in found}) == len(found)
+    assert all(r.n_missing == 0 for r in catalog_faults(catalog, "nowhere").collect())
+
+
+def test_snapshots_with_schemas_of_their_own(spark):
+    """The comparison reads the schema of each side, and the texts name it."""
+    catalog = catalog_of(spark, {
+        "snapshots": [(0, "db0", "a"), (1, "db1", None), (2, "db2", "nowhere")],
+        "columns": [(s, schema, "t", "c", *INT) for s in (0, 1, 2) for schema in ("a", "b")],
+    })
+    model = build_model(catalog)
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "source_id INT, target_id INT")
+    found = comparison.diff(model, pairs).collect()
+    assert sorted((r.target_id, r.status, r.name) for r in found) == [(1, "added", "b.t"), (2, "removed", "a.t")]
+    text = lines(comparison.schema_report(model), ["snapshot_id"])
+    assert text[:3] == ["=== Database Schema ===", "Schema: a", "Total objects: 1"]
+    assert "Schema: nowhere" in text and text.count("=== Database Schema ===") == 3
+
+
+def test_two_schemas_for_one_snapshot_are_an_error(spark):
+    catalog = catalog_of(spark, {"snapshots": [(0, "db0", "a"), (0, "db0", "b"), (1, "db1", None)]})
+    with pytest.raises(Exception, match="several schemas are wanted of snapshot 0"):
+        comparison.diff_summary(build_model(catalog), one_pair(spark)).collect()
+
+
 def test_diff_rows_can_be_built_from_a_stored_diff(spark, tmp_path):
     model = model_of(spark, columns=tables(1, ("t", "id", *INT)))
     path = str(tmp_path / "diff")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from snapdelta import build_model, numbered_lines, report_dir, schema_rows, write_text
+from snapdelta import build_model, numbered_lines, read_lines, report_dir, schema_rows, write_text
 from snapdelta.plans import comparison
 from snapdelta.sources.sample_catalog import catalog_from, pairs_from
 
@@ -56,6 +56,27 @@ def test_diff_reports(spark, small_sf, model, tmp_path):
         assert read_back(folder) == text
 
 
+def test_files_are_read_in_their_order(spark, small_sf, model, tmp_path):
+    """Whole and in order, also where a file is read in many blocks, and in any file order."""
+    pairs = pairs_from(spark, small_sf)
+    at = datetime(2024, 1, 2, 3, 4)
+    path = comparison.write_diff_reports(model, pairs, str(tmp_path), at)
+    wanted = texts_of(numbered_lines(comparison.diff_report(model, pairs)), "source_id", "target_id")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = read_lines(spark, path, "source_id INT, target_id INT")
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        assert texts_of(found, "source_id", "target_id") == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    unknown = spark.createDataFrame([(0, 99)], "source_id INT, target_id INT")
+    for write in (comparison.write_diff_reports, comparison.write_schema_reports):
+        with pytest.raises(Exception, match="pair names an unknown snapshot"):
+            write(model, unknown, str(tmp_path / "none"), at)
+
+
 def test_a_report_longer_than_a_range_stays_in_order(spark, model, tmp_path):
     one = model.snapshots.where("snapshot_id = 0")
     report = schema_rows(
