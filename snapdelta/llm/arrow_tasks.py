@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -45,6 +47,16 @@ def small_batches(batch: pa.RecordBatch, budget: int = 4_000_000) -> Iterator[pa
         yield batch.slice(start, rows)
 
 
+def release() -> None:
+    """Gives the memory of a finished task back; the Python worker lives on for others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: its free memory stays with the worker
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -52,12 +64,14 @@ def map_texts(
     make: Callable[[], Callable[[list[str]], dict[str, Any]]],
     fields: dict[str, pa.DataType],
     schema: str,
+    release_after: bool = False,
 ) -> DataFrame:
     """Rows of ``keep`` beside what ``make()`` computes from the whole texts (null: empty).
 
     ``make`` runs once per task and returns a function from the texts of one Arrow batch
     (Spark bounds a batch by bytes) to columns named in ``fields``. ``schema`` is the
-    schema of the new columns in Spark's words.
+    schema of the new columns in Spark's words. With ``release_after`` a task gives its
+    memory back when it ends, which pays where ``make`` remembers much.
     """
     kept = list(keep)
     plain = df.select(*[F.col(c) for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -72,5 +86,8 @@ def map_texts(
             columns = [batch.column(i) for i in range(len(kept))]
             columns += [c if isinstance(c := made[f], pa.Array) else pa.array(c, kind) for f, kind in fields.items()]
             yield pa.RecordBatch.from_arrays(columns, names=kept + list(fields))
+        if release_after:
+            work = made = columns = None
+            release()
 
     return plain.mapInArrow(run, out)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.arrow_tasks import in_fold, map_texts, slices_by_size
+from snapdelta.llm.arrow_tasks import in_fold, map_texts, release, slices_by_size
 
 SYMBOLS = 27  # 0 for what is no letter, then a to z
 CONTEXTS = SYMBOLS**3
@@ -62,6 +62,11 @@ def _folding() -> bytes:
 
 
 FOLD = _folding()
+_LETTERS_OF = bytes(96 + c if c else 32 for c in FOLD)
+_FOLDED = "".join(chr(c) for c in range(256) if FOLD[c])
+# Letters none of which is followed by itself.
+_ONCE = re.compile(rf"(?i:([{_FOLDED}])(?!\1))+")
+_TAIL = re.compile(rf"[^{_FOLDED}]*\Z")
 _LETTERS = b" " + bytes(range(97, 123)) + bytes(229)
 # Small letters, accents kept; all else a space.
 _WORDS = bytes(
@@ -74,25 +79,19 @@ def folded(text: str) -> bytes:
     return text.encode("latin-1", "replace").translate(FOLD)
 
 
-def _suspicious(text: str) -> Iterator[tuple[int, int, bool]]:
-    """Where a disguise may be, in order, and whether it is a run of single characters."""
+def _pieces(text: str) -> Iterator[tuple[int, int, bool]]:
+    """The text in pieces: runs of single characters that hold a letter, and what is between."""
     begin = 0
-    for run in [*_APART.finditer(text), None]:
-        if run and not any(c.isalpha() for c in run.group()):
-            continue
-        end = run.start() if run else len(text)
-        while found := _ODD.search(text, begin, end):
-            a, b = found.span()
-            while a > begin and not text[a - 1].isspace():
-                a -= 1
-            while b < end and not text[b].isspace():
-                b += 1
-            begin = b
-            if not _NUMBER.fullmatch(text, a, b):
-                yield a, b, False
-        if run:
+    for run in _APART.finditer(text):
+        if any(c.isalpha() for c in run.group()):
+            yield begin, run.start(), False
             yield run.start(), run.end(), True
             begin = run.end()
+    yield begin, len(text), False
+
+
+def _may_be_disguised(word: str) -> bool:
+    return bool(_ODD.search(word)) and not _NUMBER.fullmatch(word)
 
 
 @dataclass(frozen=True)
@@ -124,9 +123,13 @@ def character_model(df: DataFrame, text_col: str = "text") -> CharacterModel:
             texts = batch.column(0).to_pylist()
             for a, b in slices_by_size(texts, 2_000_000):
                 s = np.frombuffer(b"\0" + folded("\n".join(texts[a:b])) + b"\0", np.uint8)
-                s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))].astype(np.int32)
+                s = s[np.append(True, (s[1:] | s[:-1]) != 0)]
                 if len(s) > 3:
-                    total += np.bincount(((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:], minlength=SYMBOLS**4)
+                    code = s[:-3].astype(np.int64)
+                    for later in (s[1:-2], s[2:-1], s[3:]):
+                        code *= SYMBOLS
+                        code += later
+                    total += np.bincount(code, minlength=SYMBOLS**4)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
 
@@ -136,10 +139,18 @@ def character_model(df: DataFrame, text_col: str = "text") -> CharacterModel:
 
 
 def lattice(span: str, spaced: bool) -> list[list[tuple[str, float]]]:
-    """For each place of a span, the letters that may have been meant and their cost."""
+    """For each place of a span, the letters that may have been meant and their cost.
+
+    Letters that stand once are one place together, as nothing else can be meant.
+    """
     places: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(span):
+        once = _ONCE.match(span, i)
+        if once:
+            places.append([(once.group().encode("latin-1").translate(_LETTERS_OF).decode("latin-1"), 0.0)])
+            i = once.end()
+            continue
         letter = span[i]
         run = 1
         while i + run < len(span) and span[i + run].lower() == letter.lower():
@@ -174,10 +185,56 @@ def _read(link: tuple | None) -> str:
     return "".join(reversed(parts))
 
 
+_TO_SYMBOLS = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
+
+
 class Restorer:
     def __init__(self, log_p: np.ndarray) -> None:
-        self.log_p = log_p
-        self.known: dict[tuple[str, bool], str] = {}
+        self.log_p = log_p.ravel().tolist()
+        self.plain: set[str] = set()
+        self.known: dict[str, str | None] = {}
+        self.ends: dict[tuple[int, str, bool], tuple[float, str]] = {}
+
+    def _search(
+        self, paths: dict[int, tuple[float, tuple | None]], places: list[list[tuple[str, float]]]
+    ) -> dict[int, tuple[float, tuple | None]]:
+        """The best path to every context that the places lead to."""
+        log_p = self.log_p
+        for options in places:
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for meant, cost in options:
+                symbols = meant.encode().translate(_TO_SYMBOLS)
+                letters = meant.isalpha()
+                for context, (score, link) in paths.items():
+                    total, state = score + cost, context
+                    if letters:
+                        for symbol in symbols:
+                            at = state * SYMBOLS + symbol
+                            total += log_p[at]
+                            state = at % CONTEXTS
+                    elif symbols and state % SYMBOLS:  # one space is enough
+                        at = state * SYMBOLS
+                        total += log_p[at]
+                        state = at % CONTEXTS
+                    known = after.get(state)
+                    if known is None or total > known[0]:
+                        after[state] = (total, (link, meant) if meant else link)
+            paths = after
+        return paths
+
+    def _best_end(self, context: int, tail: str, spaced: bool) -> tuple[float, str]:
+        """The best way on from a context through the marks that end a span, and its score.
+
+        The same few endings follow many words, so they are remembered by context.
+        """
+        key = (context, tail, spaced)
+        if key not in self.ends:
+            if len(self.ends) > 100_000:
+                self.ends.clear()
+            paths = self._search({context: (0.0, None)}, [*lattice(tail, spaced), [(" ", 0.0)]])
+            best = max(score for score, _ in paths.values())
+            self.ends[key] = best, max(_read(link) for score, link in paths.values() if score == best)
+        return self.ends[key]
 
     def decode(self, span: str, spaced: bool) -> str:
         """The likeliest reading of a span that stands between spaces.
@@ -185,45 +242,68 @@ class Restorer:
         The search is exact; a context, of which the last places allow a few hundred at
         most, keeps its best path as a chain of links, so work is linear in the length.
         """
-        log_p = self.log_p
-        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for options in [*lattice(span, spaced), [(" ", 0.0)]]:
-            after: dict[int, tuple[float, tuple | None]] = {}
-            for context, (score, link) in paths.items():
-                for meant, cost in options:
-                    total, state = score + cost, context
-                    for c in meant:
-                        symbol = ord(c) - 96 if c != " " else 0
-                        if symbol == 0 and state % SYMBOLS == 0:
-                            continue
-                        total += log_p[state, symbol]
-                        state = (state * SYMBOLS + symbol) % CONTEXTS
-                    if state not in after or total > after[state][0]:
-                        after[state] = (total, (link, meant) if meant else link)
-            paths = after
-        best = max(score for score, _ in paths.values())
-        return max(" ".join(_read(link).split()) for score, link in paths.values() if score == best)
-
-    def reading(self, span: str, spaced: bool) -> str:
-        if len(span) > 64:  # seldom repeated
-            return self.decode(span, spaced)
-        if len(self.known) > 100_000:
-            self.known.clear()
-        if (span, spaced) not in self.known:
-            self.known[span, spaced] = self.decode(span, spaced)
-        return self.known[span, spaced]
+        cut = _TAIL.search(span).start()
+        found = []
+        for context, (score, link) in self._search({0: (0.0, None)}, lattice(span[:cut], spaced)).items():
+            end, meant = self._best_end(context, span[cut:], spaced)
+            found.append((score + end, link, meant))
+        best = max(f[0] for f in found)
+        return max(" ".join((_read(link) + meant).split()) for score, link, meant in found if score == best)
+
+    def changed_reading(self, span: str, spaced: bool) -> str | None:
+        """The reading of a span, unless its letters stand there plainly."""
+        reading = self.decode(span, spaced)
+        return None if reading.split() == folded(span).translate(_LETTERS).decode().split() else reading
+
+    def changed_words(self, words: set[str]) -> dict[str, str]:
+        """The words among these that read differently from what stands there.
+
+        A bounded number of short words is remembered; longer ones are seldom repeated.
+        """
+        found = {}
+        for word in words.difference(self.plain):
+            if not _may_be_disguised(word):
+                self.plain.add(word)
+                continue
+            if word in self.known:
+                reading = self.known[word]
+            else:
+                reading = self.changed_reading(word, False)
+                if len(word) <= 64:
+                    self.known[word] = reading
+            if reading is not None:
+                found[word] = reading
+        for remembered, most in ((self.plain, 200_000), (self.known, 150_000)):
+            if len(remembered) > most:
+                remembered.clear()
+        return found
 
     def restore(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The restored text and the spans replaced, with their readings."""
         spans: list[tuple[int, int, str]] = []
+        for begin, end, spaced in _pieces(text):
+            if spaced:
+                reading = self.changed_reading(text[begin:end], True)
+                if reading is not None:
+                    spans.append((begin, end, reading))
+                continue
+            changed = self.changed_words(set(text[begin:end].split()))
+            found = []
+            for word, reading in changed.items():
+                at = text.find(word, begin, end)
+                while at >= 0:
+                    after = at + len(word)
+                    if (at == begin or text[at - 1].isspace()) and (after == end or text[after].isspace()):
+                        found.append((at, after, reading))
+                    at = text.find(word, after, end)
+            spans += sorted(found)
+        if not spans:
+            return text, spans
         parts, done = [], 0
-        for a, b, spaced in _suspicious(text):
-            reading = self.reading(text[a:b], spaced)
-            if reading.split() != folded(text[a:b]).translate(_LETTERS).decode().split():
-                spans.append((a, b, reading))
-                parts += [text[done:a], " ", reading, " "]
-                done = b
-        return ("".join([*parts, text[done:]]) if spans else text), spans
+        for a, b, reading in spans:
+            parts += [text[done:a], " ", reading, " "]
+            done = b
+        return "".join([*parts, text[done:]]), spans
 
 
 def words_of(text: str) -> list[bytes]:
@@ -249,6 +329,8 @@ class _Scorer:
     def __init__(self, model: Model) -> None:
         self.restorer = Restorer(model.log_p)
         self.model = model
+        # A word of four letters or more shares them with any feature that it has.
+        self.starts = {f[:4] for f in model.toxic_features}
 
     def evidence(self, text: str) -> tuple[int, float, int]:
         """Toxic words, the strongest one's log likelihood ratio, and spans restored."""
@@ -257,8 +339,8 @@ class _Scorer:
         for a, b, _ in spans:  # the plain reading counts as well
             words += words_of(text[a:b])
         toxic = self.model.toxic_features
-        hits, strongest = 0, 0.0
-        for word, n in Counter(words).items():
+        hits, strongest, starts = 0, 0.0, self.starts
+        for word, n in Counter([w for w in words if w[:4] in starts]).items():
             own = max([toxic.get(word, 0.0), *(toxic.get(word[:k] + b"*", 0.0) for k in PREFIXES if len(word) >= k)])
             if own:
                 hits += n
@@ -305,7 +387,8 @@ def train(
     """Learns from at most ``rows_per_label`` rows of either label, those of smallest hash.
 
     A feature is toxic if its log-likelihood ratio against independence of the label is at
-    least ``least_evidence`` and it is ten times as frequent among toxic texts.
+    least ``least_evidence`` and it is ten times as frequent among toxic texts. At most
+    ``n_features`` are kept, those of the highest ratio.
     """
     spark = df.sparkSession
     log_p = character_model(df, text_col).log_p
@@ -334,6 +417,8 @@ def train(
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.binary()), pa.array([of[True][n] for n in names], pa.int64()),
              pa.array([of[False][n] for n in names], pa.int64())], names=["feature", "t", "c"])
+        restorer = of = names = None
+        release()
 
     bad, good = (float(min(sizes.get(v, 0), rows_per_label)) for v in (True, False))
     if not bad or not good:
@@ -373,7 +458,7 @@ def _scored(df: DataFrame, text_col: str, model: Model, keep: list[str], fields:
     kinds = {"double": pa.float64(), "long": pa.int64()}
     return map_texts(
         df, text_col, keep, lambda: _Scorer(Model(*shared.value)),
-        {f: kinds[_FIELDS[f]] for f in fields}, ", ".join(f"{f} {_FIELDS[f]}" for f in fields),
+        {f: kinds[_FIELDS[f]] for f in fields}, ", ".join(f"{f} {_FIELDS[f]}" for f in fields), release_after=True,
     )
 
 

@@ -1,6 +1,7 @@
-"""The ten operators on small hand-made tables, against brute force or exact round trips."""
+"""The first ten operators on small hand-made tables, against brute force or exact round trips."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -181,6 +182,26 @@ def restorer():
     return toxicity.Restorer(toxicity.CharacterModel.of_counts(codes, counts).log_p)
 
 
+@pytest.mark.parametrize("spaced", [False, True])
+def test_readings_are_the_likeliest_of_all(spaced):
+    """The search against every way through the lattice."""
+    read, draw = restorer(), random.Random(8)
+    spans = ["m0r0n", "a$$.", "stuupid!", "f**k", "1diiot", "sstuuupid", "b@l0,", "***", "é11o"]
+    spans += ["".join(draw.choice("aabost1!*$.uid") for _ in range(draw.randint(1, 6))) for _ in range(60)]
+    for span in spans:
+        ways = []
+        for way in itertools.product(*toxicity.lattice(span, spaced), [(" ", 0.0)]):
+            score, state = sum(cost for _, cost in way), 0
+            for c in "".join(meant for meant, _ in way):
+                symbol = ord(c) - 96 if c != " " else 0
+                if symbol or state % toxicity.SYMBOLS:
+                    score += read.log_p[state * toxicity.SYMBOLS + symbol]
+                    state = (state * toxicity.SYMBOLS + symbol) % toxicity.CONTEXTS
+            ways.append((score, " ".join("".join(meant for meant, _ in way).split())))
+        best = max(ways)[0]
+        assert read.decode(span, spaced) in {text for score, text in ways if score > best - 1e-9}, span
+
+
 def test_long_spans_are_read_whole():
     words = ["balo", "stupid", "termin", "moron", "sober", "idiot"] * 4
     assert restorer().restore(" ".join("".join(words)))[0].split() == words
