@@ -404,7 +404,8 @@ def similarity_join(
                     names=["node", "tokens"],
                 )
 
-    full = rows.mapInArrow(sets, "node long, tokens array<long>")
+    # A task sends a set once; what several tasks send is one row again before it is dealt to groups.
+    full = rows.mapInArrow(sets, "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
     linked = stored(
         dealt.join(full, "node").groupBy("pivot", "first", "second")
         .applyInArrow(lambda table: verify(table, percent), "a long, b long, links long")

@@ -55,20 +55,22 @@ def maybe_column(spark: SparkSession, keys: DataFrame, column: Column) -> Column
     return maybe(column)
 
 
-def one_of_each(df: DataFrame, kept: DataFrame, touched: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose id is in ``kept`` or not in ``touched``, whole rows once.
+def one_of_each(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows that ``decided`` keeps or does not name, one per key.
 
-    ``touched`` has the ids about which ``kept`` decides. A filter of fixed size finds the
-    rows that may have such an id; only those are shuffled and decided by a join.
+    ``rows`` has ``_row``, a struct, and ``_key``; ``decided`` has ``_key, kept`` for the keys
+    of which it decides. A filter of fixed size finds the rows that may have such a key; only
+    those are shuffled and decided by a join. Of the rows of one decided key one stays, the
+    same one whenever this is run; rows beyond ``decided`` stay, repeats included.
     """
-    spark = df.sparkSession
-    maybe = maybe_column(spark, touched.select(F.xxhash64(id_col)), F.xxhash64(id_col))
-    known = F.col(id_col).isNotNull() & maybe
-    flagged = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), known.alias("_maybe"))
-    surely = flagged.where(~F.col("_maybe")).select("_row.*")
-    asked = flagged.where("_maybe")
-    decisions = touched.select(F.col(id_col).alias("_t")).distinct().join(
-        kept.select(F.col(id_col).alias("_t"), F.lit(True).alias("_kept")).distinct(), "_t", "left"
-    )
-    stay = asked.join(decisions, F.col("_id") == F.col("_t"), "left").where(F.col("_t").isNull() | F.col("_kept"))
-    return surely.unionByName(stay.select("_row.*").distinct())
+    spark = rows.sparkSession
+    maybe = maybe_column(spark, decided.select(F.xxhash64("_key")), F.xxhash64("_key"))
+    flagged = rows.withColumn("_maybe", maybe)
+    surely = flagged.where(~F.col("_maybe")).select("_row")
+    decisions = decided.groupBy(F.col("_key").alias("_decided")).agg(F.max("kept").alias("_kept"))
+    asked = flagged.where("_maybe").join(decisions, F.col("_key") == F.col("_decided"), "left")
+    undecided = asked.where(F.col("_decided").isNull()).select("_row")
+    # Any type has a text, also those that cannot be compared.
+    order = F.xxhash64(F.to_json(F.struct("_row")))
+    stay = asked.where("_kept").groupBy("_key").agg(F.min_by("_row", order).alias("_row"))
+    return surely.unionByName(undecided).unionByName(stay.select("_row"))

@@ -35,10 +35,52 @@ def test_stages(spark):
     lettered = corpus_pipeline.drop_without_language(spark, docs, SF_DIR)
     assert {r.doc_id for r in lettered.collect()} == {0, 1, 2, 5, None}
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, lettered, SF_DIR).collect()} == {0, 5, None}
+    assert corpus_pipeline.drop_near_copies(spark, lettered, SF_DIR).columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF_DIR).collect() == []
 
 
+def words(start, n=30):
+    return " ".join(f"w{start}x{i}" for i in range(n))
+
+
+def test_near_copies_with_clashing_ids_and_odd_columns(spark):
+    """A text is judged for itself, whatever rows share its id; any column name and type passes."""
+    texts = [
+        (1, words(1), {"k": "a"}), (2, words(1), {"k": "b"}), (2, words(2), {}),  # a copy and a unique text under one id
+        (3, words(3), None), (3, words(3) + " end", None), (3, words(3), {"k": "z"}),  # near copies under one id
+        (None, words(4), None), (None, words(4), None), (4, words(4) + " end", None),  # a named copy goes before unnamed ones
+        (None, words(5), None), (None, words(6), None), (7, None, None), (7, None, None), (8, "", None),
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, m, n, n) for n, (i, t, m) in enumerate(texts)],
+        "doc_id long, text string, `a.b` map<string,string>, _maybe int, _row int",
+    ).repartition(4)
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    found = sorted((str(r.doc_id), r.text or "") for r in rows)
+    assert found == sorted([
+        ("1", words(1)), ("2", words(2)), ("4", words(4) + " end"), ("None", words(5)), ("None", words(6)),
+        ("7", ""), ("7", ""), ("8", ""), next(f for f in found if f[0] == "3"),
+    ])
+    assert sorted(r._maybe for r in out.collect()) == sorted(r._maybe for r in rows)
+
+
+def test_unlearned_language_goes(spark):
+    text = "der hund und die katze sehen das haus am see "
+    rows = [(i, text * 2 + str(i), "de") for i in range(30)] + [(50, "это слово здесь написано на другом языке " * 3, "de")]
+    rows += [(51, "слово", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = docs.where("doc_id < 50")
+    from unittest import mock
+
+    train = corpus_pipeline.language_id.train
+    with mock.patch.object(corpus_pipeline.language_id, "train", lambda _, fold: train(learned, fold=fold)):
+        kept = {r.doc_id for r in corpus_pipeline.drop_without_language(spark, docs, SF_DIR).collect()}
+    assert kept == {*range(30), 51}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
