@@ -18,6 +18,8 @@ from snapdelta.sources.shared_storage import stored
 
 # SQL has no trained models, no tokenizer and no hash that the mix uses.
 ORACLE_SQL = None
+# A text of so many characters holds n-grams enough to name its language.
+LEAST_CHARACTERS = 40
 
 
 def _whole_rows(docs: DataFrame) -> DataFrame:
@@ -32,20 +34,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters; one in any learned language stays."""
+    """Rejects documents without letters, and those long enough to tell in which no n-gram
+    of any learned language is found."""
     make_importable(spark)
     model = language_id.train(docs, fold=None)
     named = language_id.identify(_whole_rows(docs), model, keep=["_row"])
-    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select("_row.*")
+    spoken = (F.col("score") > 0) | (F.length(F.coalesce(F.col("_row.text"), F.lit(""))) < LEAST_CHARACTERS)
+    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & spoken).select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by a similarity of 0.8 or more on five words, the least id stays."""
+    """Of documents joined by a similarity of 0.8 or more on five words, the least stays."""
     make_importable(spark)
-    joined = stored(jaccard_join.similarity_join(docs, width=5, percent=80).where(F.col("n_links") > 0))
-    touched = joined.select("doc_id").where(F.col("doc_id").isNotNull())
-    kept = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return row_filter.one_of_each(docs, kept, touched)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Rows without an id come last; no part is null, so that keys can be joined.
+    key = F.struct(
+        F.col("doc_id").isNull().alias("missing"),
+        F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
+        F.xxhash64(F.lit(1), text).alias("hash1"), F.xxhash64(F.lit(2), text).alias("hash2"),
+    )
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"), text.alias("text"))
+    joined = jaccard_join.similarity_join(keyed.select("_key", "text"), id_col="_key", width=5, percent=80)
+    decided = stored(
+        joined.where(F.col("n_links") > 0).select("_key", (F.col("_key") == F.col("component_id")).alias("kept"))
+    )
+    return row_filter.one_of_each(keyed, decided).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
