@@ -140,7 +140,7 @@ def nearest(
     vector_col: str = "embedding",
     every: int = 100,
     k: int = 10,
-    radius: int = 56,
+    radius: int | None = None,
     rotations: int = 2,
     sample_rows: int = 4096,
 ) -> DataFrame:
@@ -148,7 +148,7 @@ def nearest(
 
     ``score`` is the Euclidean distance in double precision. The rotations are fitted on
     the ``sample_rows`` rows of smallest hash; all rows are indexed. ``radius`` is in bits
-    of the whole code of ``rotations`` times the dimension.
+    of the whole code of ``rotations`` times the dimension, by default seven sixteenths of it.
     """
     spark = df.sparkSession
     result = "query_id long, vec_id long, score double"
@@ -160,6 +160,7 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimension, count = sizes[0]["d"], sizes[0]["n"]
     rows = rows.where(F.size("v") == dimension)
+    radius = rotations * dimension * 7 // BITS if radius is None else radius
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).select("v").toArrow()
     codes = learn_codes(sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dimension), rotations)
     shared = spark.sparkContext.broadcast((codes.mean, codes.rotation))
