@@ -84,10 +84,10 @@ def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = source_mix.mix(documents, source_mix.plan(documents))
     return mixed.select(
-        "doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", "mix.shards"
+        "row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", "mix.shards"
     )
 
 

@@ -5,7 +5,7 @@ share it by weight (weights repeat over the sources in code point order, null la
 source's target stops at ``most`` times its size, and what is left over goes to the
 others by weight until none is above.
 
-A hash of the id deals the rows of a source into 256 blocks, permuted by source. A source
+A hash of id and text deals the rows of a source into 256 blocks, permuted by source. A source
 gives whole passes over its blocks, then the blocks of a last pass up to its target. The
 block where the target lies is cut finer, by a second level of 256 cells, and in the cell
 where it lies by row. What is then missing goes to the one later row whose size comes
@@ -17,12 +17,14 @@ once, so the counts are multivariate hypergeometric. A shard's blocks of a sourc
 next ones in the source's permuted order, so shards are disjoint, and within a shard
 rows are ordered by a hash.
 
-Defined cases: a null text has size 0, a null source is a source of its own, null ids are
-dealt like any id, and repeated ids fall into one cell. Rows of size 0 are taken like
-their block. If all sizes are 0 all targets are 0 and nothing is taken. An empty table
-gives no rows. The row's own columns stay as they are; names that start with an
-underscore and ``mix`` are used inside. All work is built-in functions. What is gathered
-per source is one row; what meets in one task is one row per source, or 256 cells of it.
+Defined cases: a null text has size 0, a null source is a source of its own. Rows without
+an id, or with one id, are told apart by their texts; rows of one id and text are taken
+alike. Rows of size 0 are taken like their block. If all sizes are 0 all targets are 0 and
+nothing is taken. An empty table gives no rows. A text of any length is counted whole. The
+row's own columns are packed into one struct, so any column name will do. All work is
+built-in functions. What is gathered per source is one row; what meets in one task is one
+row per source, or 256 cells of it. A source has 256 blocks at any size, and a block goes to
+one shard whole: beyond 512 shards' worth of words a source's shards grow with it.
 """
 
 from __future__ import annotations
@@ -42,9 +44,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def _positions(source: Column, row_id: Column, seed: int) -> tuple[Column, Column, Column]:
+def _positions(source: Column, row_id: Column, text: Column, seed: int) -> tuple[Column, Column, Column]:
     """Of a row: its block's place in the source's order, its cell's place, and its order there."""
-    own = F.xxhash64(F.lit(seed), row_id)
+    own = F.xxhash64(F.lit(seed), row_id, F.xxhash64(F.lit(seed), text))
     turn = F.xxhash64(F.lit(seed + 1), source)
     factor = turn.bitwiseAND(F.lit(CELLS // 2 - 1)) * 2 + 1
     shift = F.shiftrightunsigned(turn, 8).bitwiseAND(F.lit(CELLS - 1))
@@ -112,10 +114,13 @@ def plan(
 
     There is a shard for each ``words_per_shard`` words of the mix, ``least_shards`` at least.
     """
-    place, cell, order = _positions(F.col("source"), F.col("id"), seed)
+    source, text = F.col(f"`{source_col}`"), F.col(f"`{text_col}`")
+    place, cell, order = _positions(source, F.col(f"`{id_col}`"), text, seed)
     rows = stored(
-        df.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
-        .select("source", "size", place.alias("place"), cell.alias("cell"), order.alias("order"))
+        df.select(
+            source.alias("source"), word_count(text).alias("size"), place.alias("place"), cell.alias("cell"),
+            order.alias("order"),
+        )
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(F.lit(0))
     wanted = stored(
@@ -199,11 +204,15 @@ def _with_shards(planned: DataFrame, shards: int, seed: int) -> DataFrame:
     key = F.struct(F.col("source").isNull().alias("last"), "source", "quota")
     listed = planned.groupBy().agg(F.array_sort(F.collect_list(key)).alias("keys"))
     split = split_quotas(listed.select(F.transform("keys", lambda k: k["quota"]).alias("counts")), shards, seed)
-    runs = split.groupBy().agg(F.array_sort(F.collect_list(F.struct("shard", "counts"))).alias("runs"))
+    runs = (
+        split.select("shard", F.posexplode("counts").alias("number", "count")).where(F.col("count") > 0)
+        .groupBy("number").agg(F.array_sort(F.collect_list(F.struct("shard", "count"))).alias("runs"))
+    )
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    one = planned.withColumn("number", number).join(runs.withColumn("one", F.lit(0)), F.lit(0) * F.col("number") == F.col("one"))
-    draws = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["shard"], F.get(r["counts"], F.col("number")).cast("int"))))
-    return stored(one.withColumn("shards", draws).drop("runs", "one", "number"))
+    draws = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["shard"], r["count"].cast("int"))))
+    one = planned.withColumn("number", number).join(runs, "number", "left")
+    none = F.array().cast("array<int>")
+    return stored(one.withColumn("shards", F.coalesce(draws, none)).drop("runs", "number"))
 
 
 def mix(
@@ -214,23 +223,25 @@ def mix(
     source_col: str = "source",
     seed: int = 17,
 ) -> DataFrame:
-    """Each row with a struct ``mix``: size, source_size, target, copies, taken, shards.
+    """``row``, the input row as a struct, and ``mix``: size, source_size, target, copies, taken, shards.
 
     ``shards`` names the shard of each copy. The plan has one row per source, and Spark
     decides by its size whether the join needs a shuffle.
     """
-    place, cell, order = _positions(F.col(source_col), F.col(id_col), seed)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    source, row_id, text = (F.col("row").getField(c) for c in (source_col, id_col, text_col))
+    place, cell, order = _positions(source, row_id, text, seed)
     one = F.struct(*[F.col(c) for c in planned.columns])
-    joined = df.join(planned.select(one.alias("_plan")), F.col(source_col).eqNullSafe(F.col("_plan.source")))
-    p = lambda name: F.col(f"_plan.{name}")
+    joined = rows.join(planned.select(one.alias("plan")), source.eqNullSafe(F.col("plan.source")))
+    p = lambda name: F.col(f"plan.{name}")
     inside = (place < p("place_cut")) | (
         (place == p("place_cut")) & ((cell < p("cell_cut")) | ((cell == p("cell_cut")) & (order <= p("order_cut"))))
     ) | F.coalesce((place == p("extra.place")) & (cell == p("extra.cell")) & (order == p("extra.order")), F.lit(False))
     copies = p("passes") + F.when(p("partial") & inside, F.lit(1)).otherwise(F.lit(0))
-    size = word_count(F.col(text_col))
+    size = word_count(text)
     numbers = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn(
-        "mix",
+    return joined.select(
+        "row",
         F.struct(
             size.alias("size"), p("source_size").alias("source_size"), p("target").alias("target"),
             copies.cast("int").alias("copies"), (copies * size).cast("long").alias("taken"),
@@ -238,12 +249,12 @@ def mix(
                 numbers,
                 lambda n: F.coalesce(F.get(p("shards"), n * CELLS + place), F.element_at(p("shards"), -1)),
             ).alias("shards"),
-        ),
-    ).drop("_plan")
+        ).alias("mix"),
+    )
 
 
 def drawn(mixed: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
-    """One row per copy taken, with ``_shard`` and ``_order``, its place within the shard."""
-    plain = [c for c in mixed.columns if c != "mix"]
-    rows = mixed.select(*plain, F.posexplode("mix.shards").alias("_copy", "_shard"))
-    return rows.withColumn("_order", F.xxhash64(F.lit(seed + 2), "_shard", id_col, "_copy")).drop("_copy")
+    """One row per copy taken: ``row``, its ``shard`` and ``order``, its place within the shard."""
+    copies = mixed.select("row", F.posexplode("mix.shards").alias("copy", "shard"))
+    place = F.xxhash64(F.lit(seed + 2), "shard", F.col("row").getField(id_col), "copy")
+    return copies.select("row", "shard", place.alias("order"))

@@ -320,6 +320,22 @@ def test_top_k_equals_brute_force(session, monkeypatch):
     assert topk_search.search(texts_table(session, [])).collect() == []
 
 
+@pytest.mark.parametrize("dimension", [64, 256, 768])
+def test_recall_of_the_default_radius(session, dimension):
+    draw = np.random.default_rng(dimension)
+    centres = draw.normal(size=(40, dimension))
+    vectors = (centres[draw.integers(0, 40, 1500)] + 0.7 * draw.normal(size=(1500, dimension))).astype(np.float32)
+    df = session.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = vector_search.nearest(df, every=100, k=10).collect()
+    wide = vectors.astype(float)
+    hits = 0
+    for q in range(0, 1500, 100):
+        distance = ((wide - wide[q]) ** 2).sum(1)
+        best = [i for i in np.argsort(distance, kind="stable") if i != q][:10]
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(best))
+    assert hits >= 0.9 * 150
+
+
 def test_nearest_vectors(session):
     draw = np.random.default_rng(4)
     vectors = draw.normal(size=(1200, 32))
@@ -327,7 +343,7 @@ def test_nearest_vectors(session):
     rows = [(i, v.tolist(), i) for i, v in enumerate(vectors)]
     bad = [(5000, None, 0), (5100, [0.0] * 32, 0), (5200, [float("nan")] * 32, 0), (5300, [1.0, None] * 16, 0), (5400, [1.0], 0), (None, [1.0] * 32, 0)]
     df = session.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int")
-    got = vector_search.nearest(df, every=100, k=10, radius=28).collect()  # as large a part of the code as by default
+    got = vector_search.nearest(df, every=100, k=10).collect()
     hits = 0
     for q in range(0, 1200, 100):
         distance = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
@@ -354,13 +370,35 @@ def filled(sizes, share=1.5, most=2.0):
         capped |= over
 
 
+def test_mix_of_rows_without_ids_and_with_any_column_names(session):
+    draw = random.Random(12)
+    rows = [
+        (None if i % 2 else i % 40, " ".join(["w"] * draw.randint(1, 60)) + f" {i}", draw.choice("aabbbbc"), i, i, i, {"k": "v"})
+        for i in range(3000)
+    ]
+    df = session.createDataFrame(
+        rows, "doc_id long, text string, source string, mix int, `_shard` int, `a.b` int, row map<string,string>"
+    )
+    planned = source_mix.plan(df)
+    assert planned.count() == 3
+    mixed = source_mix.mix(df, planned)
+    got = mixed.select("row.source", "row.mix", "mix.target", "mix.taken", "mix.copies").collect()
+    assert sorted(r.mix for r in got) == list(range(3000))
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 62, source
+    out = source_mix.drawn(mixed)
+    assert out.count() == sum(r.copies for r in got)
+    assert out.select("row.*").columns == df.columns
+
+
 def test_mix_reaches_targets(session):
     draw = random.Random(8)
     rows = [(i, "w " * draw.randint(0, 60), draw.choice(["a", "b", "b", "b", "c", None])) for i in range(900)] + [(None, "x y", "a"), (3, None, "c")]
     df = session.createDataFrame(rows, "doc_id long, text string, source string")
     plan = source_mix.plan(df)
-    got = source_mix.mix(df, plan).select("doc_id", "source", "mix.*").collect()
-    again = source_mix.mix(df, source_mix.plan(df)).select("doc_id", "source", "mix.*").collect()
+    got = source_mix.mix(df, plan).select("row.doc_id", "row.source", "mix.*").collect()
+    again = source_mix.mix(df, source_mix.plan(df)).select("row.doc_id", "row.source", "mix.*").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again)) and len(got) == len(rows)
     sizes, taken = {}, {}
     for r in got:
