@@ -66,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     make_importable(spark)
     planned = source_mix.plan(docs)
     rows = source_mix.drawn(source_mix.mix(docs, planned))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    return rows.repartition("shard").sortWithinPartitions("shard", "order").select("row.*")
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
