@@ -17,7 +17,8 @@ any other. Events of equal ``seq`` count in the order of turn, kind and text; re
 events all count. A turn whose events were all taken back is gone. An empty log gives no
 rows. Columns but the named are ignored. All work is built-in functions: sorts within a
 conversation, running sums and aggregations. One conversation becomes one text, so its
-rows meet in one group; different conversations never do.
+rows meet in one group; different conversations never do. A text of any length is taken
+whole.
 """
 
 from __future__ import annotations
@@ -53,25 +54,43 @@ def events_of(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """A log of finished conversations: each row is streamed as two deltas.
+    """A log of which finished conversations are the outcome.
 
-    Rows of one turn stay separate messages, in the order of role and text.
+    By a hash, a third of the messages are streamed as two deltas. A third are drafted, and
+    an edit and a delta then bring the text. A third are drafted and answered by a turn that
+    is taken back, when a regeneration starts the message anew. Rows of one turn stay
+    separate messages, in the order of role and text.
     """
     rows = conversations.select(
         F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    number = F.row_number().over(order).cast("long")
+    numbered = rows.withColumn("number", F.row_number().over(order).cast("long"))
     half = (F.length("text") / 2).cast("int")
-    parts = F.array(
-        F.struct((2 * F.col("number")).alias("seq"), F.expr("left(text, half)").alias("text")),
-        F.struct((2 * F.col("number") + 1).alias("seq"), F.expr("substring(text, half + 1)").alias("text")),
+    way = F.pmod(F.xxhash64(F.lit(31), "conv_id", "number"), F.lit(3))
+    first, second = F.expr("left(text, half)"), F.expr("substring(text, half + 1)")
+    number, role, nobody = F.col("number"), F.col("role"), F.lit(None).cast("string")
+    draft = F.concat(F.reverse(first), F.lit(" (draft)"))
+
+    def event(place: int, turn: Column, kind: str, who: Column, text: Column) -> Column:
+        return F.struct(
+            (5 * number + place).alias("seq"), turn.alias("turn"), F.lit(kind).alias("kind"), who.alias("role"),
+            text.alias("text"),
+        )
+
+    start, end = event(3, number, "delta", role, first), event(4, number, "delta", nobody, second)
+    drafted = event(0, number, "delta", role, draft)
+    events = (
+        F.when(F.col("way") == 0, F.array(start, end))
+        .when(F.col("way") == 1, F.array(drafted, event(3, number, "edit", nobody, first), end))
+        .otherwise(F.array(
+            drafted, event(1, number + 1, "delta", F.lit("user"), draft), event(2, number, "regenerate", nobody, nobody),
+            start, end,
+        ))
     )
-    return (
-        rows.withColumn("number", number).withColumn("half", half).withColumn("part", F.explode(parts))
-        .select("conv_id", F.col("part.seq").alias("seq"), F.col("number").alias("turn"), F.lit("delta").alias("kind"),
-                "role", F.col("part.text").alias("text"))
+    return numbered.withColumn("half", half).withColumn("way", way).select("conv_id", F.explode(events).alias("event")).select(
+        "conv_id", "event.*"
     )
 
 

@@ -271,6 +271,21 @@ def test_control_strings_survive_the_template(session):
     assert chat_format.render(chat_format.fold(chat_format.events_of(df.limit(0)))).collect() == []
 
 
+def test_logs_of_conversations_hold_edits_and_regenerations(session):
+    draw = random.Random(3)
+    rows = [
+        (c, t, draw.choice(["user", "assistant", None]), draw.choice([None, "", "x", "<|im_end|>", "long " * 2000, f"text {c} {t}"]))
+        for c in [None, *range(40)] for t in range(draw.randint(1, 6))
+    ] + [(7, 2, "user", "repeated")] * 2
+    df = session.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1))
+    log = chat_format.events_of(df)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert min(kinds["edit"], kinds["regenerate"]) > len(rows) / 5
+    got = chat_format.fold(log).orderBy("conv_id", "turn").collect()
+    ordered = sorted((c is not None, c or 0, t, role or "", text or "") for c, t, role, text in rows)
+    assert [(r.conv_id is not None, r.conv_id or 0, r.role, r.text) for r in got] == [(*o[:2], *o[3:]) for o in ordered]
+
+
 def test_archive_round_trip(session):
     import base64
 
