@@ -229,7 +229,7 @@ class Restorer:
         """
         key = (context, tail, spaced)
         if key not in self.ends:
-            if len(self.ends) > 100_000:
+            if len(self.ends) > 40_000:
                 self.ends.clear()
             paths = self._search({context: (0.0, None)}, [*lattice(tail, spaced), [(" ", 0.0)]])
             best = max(score for score, _ in paths.values())
@@ -273,7 +273,7 @@ class Restorer:
                     self.known[word] = reading
             if reading is not None:
                 found[word] = reading
-        for remembered, most in ((self.plain, 200_000), (self.known, 150_000)):
+        for remembered, most in ((self.plain, 60_000), (self.known, 150_000)):
             if len(remembered) > most:
                 remembered.clear()
         return found
