@@ -12,6 +12,7 @@ import os
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import tiktoken
 
 # The splitting rule of the byte-level vocabularies, a fixed value of their format.
@@ -39,6 +40,7 @@ class ByteBpe:
     ranks: dict[bytes, int]
     special: dict[str, int]
     encoding: tiktoken.Encoding
+    merges: np.ndarray  # left, right and resulting id of each merge, in order
 
     @property
     def token_bytes(self) -> list[bytes]:
@@ -68,7 +70,9 @@ def load(path: str) -> ByteBpe:
     encoding = tiktoken.Encoding(
         "byte_bpe", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
-    return ByteBpe(ranks, special, encoding)
+    vocab = model["vocab"]
+    merges = np.array([(vocab[a], vocab[b], i) for (a, b), i in zip(merged, order)], np.int32).reshape(-1, 3)
+    return ByteBpe(ranks, special, encoding, merges)
 
 
 def split_special(text: str, special: dict[str, int]) -> list[str | int]:

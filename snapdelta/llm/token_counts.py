@@ -6,9 +6,11 @@ or at the one before it. A block of texts is cut into many short chunks that all
 in step; since a chunk does not know the state it will be entered in, it carries the map
 from every entry state to its exit state. The maps compose associatively, so a prefix
 scan over them yields each chunk's true entry state in a logarithmic number of rounds,
-and a second sweep emits the outputs. The number of tokens a piece emits is the weight of
-its path through the merge table; weights are kept per task in a fixed-size table keyed
-by a 64-bit hash of the piece and computed from the merge ranks when first needed.
+and a second sweep emits the outputs. Where a piece begins, a second transducer, over
+bytes, is in its first state whatever came before; the tokens emitted on its transitions
+(see :mod:`token_transducer`) add up to the weight of the piece's path. Weights are kept
+per task in a fixed-size table keyed by a 64-bit hash of the piece, so that a frequent
+path is walked once.
 
 Null texts count as empty; an empty text has 0 tokens. Each input row gives one output
 row, repeated rows too. Other columns of the input, whatever their names, are ignored.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.llm import byte_bpe
 from snapdelta.llm.arrow_tasks import map_texts, slices_by_size
+from snapdelta.llm.token_transducer import TokenTransducer, borders
 
 BLOCK_CHARS = 500_000
 CHUNK = 128
@@ -191,6 +194,7 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 class _Counter:
     def __init__(self, path: str) -> None:
         self.scanner = PieceScanner(path)
+        self.transducer = TokenTransducer(borders(path))
         self.special = self.scanner.bpe.special
         self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
         self.weights = np.zeros(1 << CACHE_BITS, np.int32)
@@ -205,10 +209,8 @@ class _Counter:
             distinct, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
             at = missed[at]
             spans = zip(first[at].tolist(), last[at].tolist())
-            ids_of = self.scanner.ids_of
-            new = np.fromiter(
-                (len(ids_of(joined[s:e].encode("utf-8", "surrogatepass"))) for s, e in spans), np.int32, len(at)
-            )
+            walk = self.transducer.count
+            new = np.fromiter((walk(joined[s:e].encode("utf-8", "surrogatepass")) for s, e in spans), np.int32, len(at))
             weights[missed] = new[back]
             self.keys[slot[at]], self.weights[slot[at]] = distinct, new
         return np.bincount(unit, weights, len(units)).astype(np.int64)
