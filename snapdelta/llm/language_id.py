@@ -187,5 +187,5 @@ def identify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)
     return map_texts(
         df, text_col, keep, lambda: _Scorer(shared.value),
-        {"lang_pred": pa.string(), "score": pa.float64()}, "lang_pred string, score double",
+        {"lang_pred": pa.string(), "score": pa.float64()}, "lang_pred string, score double", release_after=True,
     )
