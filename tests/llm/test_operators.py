@@ -337,6 +337,52 @@ def test_top_k_equals_brute_force(session, monkeypatch):
     assert topk_search.search(texts_table(session, [])).collect() == []
 
 
+def test_top_k_of_null_and_repeated_ids(session):
+    rows = [(0, "a b c x"), (0, "a d d e"), (1, "a b"), (1, "a b"), (2, "d e"), (3, ""), (4, None), (None, "a b c"), (5, "c " * 9000)]
+    words, n = [(t or "").split() for i, t in rows if i is not None], 8
+    mean = sum(map(len, words)) / n
+    asked, want = {"a", "b", "c", "d", "e", "x"}, []
+    for doc, own in zip([i for i, _ in rows if i is not None], words):
+        score = sum(
+            math.log(1 + (n - df + 0.5) / (df + 0.5)) * own.count(w) * 2.2
+            / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean))
+            for w in asked & set(own) if (df := sum(w in d for d in words))
+        )
+        want += [(-round(score, 9), doc)] if doc and own else []
+    got = topk_search.search(session.createDataFrame(rows, "doc_id long, text string")).orderBy("rank").collect()
+    assert [(-r.score, r.doc_id) for r in got] == sorted(want) and {r.query_id for r in got} == {0}
+
+
+def test_blocks_out_of_reach_are_passed_over():
+    draw = np.random.default_rng(8)
+    n, vocabulary, k = 4000, 400, 10
+    # Four kinds of texts, each with common words of its own.
+    kind = draw.integers(0, 4, n)
+    sets = [np.unique(draw.zipf(1.3, 60) % 100 + 100 * c) for c in kind]
+    sizes, words = np.array([len(x) for x in sets]), np.concatenate(sets).astype(np.int64)
+    tf, lengths = draw.integers(1, 4, len(words)), sizes * 2
+    idf = np.log(1 + n / np.bincount(words, minlength=vocabulary).clip(1))
+    ends = np.cumsum(sizes)
+    asked = topk_search.Asked(np.arange(n)[:200], sizes[:200], words[: ends[199]], idf[words[: ends[199]]], k)
+    evaluated = blocks = 0
+    for a, b in ((0, 2000), (2000, 4000)):
+        part = slice(ends[a] - sizes[a], ends[b - 1])
+        shard = topk_search.Shard(
+            np.arange(a, b), lengths[a:b], words[part], tf[part], sizes[a:b], lengths.mean(), asked, block=32
+        )
+        evaluated, blocks = evaluated + shard.search(), blocks + 200 * shard.blocks
+    impact = np.zeros((n, vocabulary))
+    norm = 1.2 * (0.25 + 0.75 * np.repeat(lengths, sizes) / lengths.mean())
+    impact[np.repeat(np.arange(n), sizes), words] = tf * 2.2 / (tf + norm)
+    for place, query in enumerate(asked.ids):
+        score = np.round(impact @ np.where(impact[query] > 0, idf, 0), 9)
+        score[query] = 0
+        best = np.lexsort((np.arange(n), -score))[:k]
+        assert np.allclose(asked.best[place], score[best], atol=2e-9)
+        assert (score[asked.best_ids[place]] >= score[best[-1]] - 2e-9).all()
+    assert evaluated < 0.5 * blocks
+
+
 @pytest.mark.parametrize("dimension", [64, 256, 768])
 def test_recall_of_the_default_radius(session, dimension):
     draw = np.random.default_rng(dimension)
