@@ -314,6 +314,7 @@ def test_archive_round_trip(session):
 def test_top_k_equals_brute_force(session, monkeypatch):
     monkeypatch.setattr(topk_search, "SHARD_TEXTS", 40)
     monkeypatch.setattr(topk_search, "LANES", 2)
+    monkeypatch.setattr(topk_search, "LANE_TEXTS", 60)
     monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 4)
     monkeypatch.setattr(topk_search, "BLOCK_TEXTS", 4)
     texts = ODD_TEXTS + near_copies(120, [3, 12, 60])
