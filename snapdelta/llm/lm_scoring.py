@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.llm.arrow_tasks import small_batches
+from snapdelta.llm.arrow_tasks import release, small_batches
 from snapdelta.sources.shared_storage import stored
 
 UNIT_TOKENS = 900_000
@@ -144,6 +144,8 @@ def _units(docs: DataFrame, text_col: str, kind: Column, keep: Iterable[str]) ->
             if units[tuning].rows:
                 yield closed(tuning)
                 made += 1
+        units = batch = text = None
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -232,6 +234,8 @@ def _asked(units: DataFrame, order: int, buckets: int) -> DataFrame:
                         ],
                         names=names,
                     )
+        grams = counts = None
+        release()
 
     needed = units.select("unit", "tuning", "kinds", "lengths", "ids", "words")
     return needed.mapInArrow(run, "size int, bucket int, unit long, tuning boolean, keys binary, counts binary")
@@ -240,16 +244,21 @@ def _asked(units: DataFrame, order: int, buckets: int) -> DataFrame:
 def _answers(asked: DataFrame) -> DataFrame:
     """The sums over all units, for each unit in its own order; ``n_words`` counts known words."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def summed(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
-        tuning = np.repeat(table.column("tuning").to_numpy(), [len(k) for k in keys])
+        sizes = [len(k) for k in keys]
+        keys = np.concatenate(keys)
+        distinct, at = np.unique(keys, return_inverse=True)
+        del keys
+        at = at.astype(np.int32)
+        tuning = np.repeat(table.column("tuning").to_numpy(), sizes)
         counts = np.concatenate([unpack(x.as_py()) for x in table.column("counts")]).astype(np.float64)
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         main = np.bincount(at, weights=counts * ~tuning, minlength=len(distinct)).astype(np.uint64)
         tuned = np.bincount(at, weights=counts * tuning, minlength=len(distinct)).astype(np.uint64)
+        del counts
         is_word = (main + tuned > 0) & (distinct != _START_KEY) & (table.column("size")[0].as_py() == 0)
-        ends = np.cumsum([len(k) for k in keys])
-        mine = [at[e - len(k):e] for k, e in zip(keys, ends)]
+        ends = np.cumsum(sizes)
+        mine = [at[e - n:e] for n, e in zip(sizes, ends)]
         return pa.table(
             {
                 "unit": table.column("unit"), "tuning": table.column("tuning"), "size": table.column("size"),
@@ -260,6 +269,11 @@ def _answers(asked: DataFrame) -> DataFrame:
             }
         )
 
+    def run(table: pa.Table) -> pa.Table:
+        made = summed(table)
+        release()
+        return made
+
     return asked.groupBy("size", "bucket").applyInArrow(
         run, "unit long, tuning boolean, size int, bucket int, main binary, tuned binary, n_words long"
     )
@@ -286,17 +300,17 @@ class _Counts:
     def _before(counts: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros(1), counts[:-1]])
 
-    def estimates(self) -> tuple[np.ndarray, np.ndarray]:
+    def estimates(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Per token: the bucket of its context, and the estimates of all lengths."""
         shown = np.zeros(len(self.tokens), np.int64)
         probabilities = []
         for k, (count, context) in enumerate(zip(self.of, self.context)):
             seen = context > 0
-            probabilities.append(np.divide(count, context, out=np.zeros_like(count), where=seen))
+            probabilities.append(np.divide(count, context, out=np.zeros_like(count), where=seen)[self.tokens])
             if k:
                 level = np.minimum(np.frexp(context)[1] - 1, COUNT_CLASSES - 1)
                 shown = np.where(seen, k * COUNT_CLASSES + level, shown)
-        return shown[self.tokens], np.array(probabilities)[:, self.tokens]
+        return shown[self.tokens], probabilities
 
 
 @dataclass(frozen=True)
@@ -397,7 +411,9 @@ def train(
             counts = _Counts(_grams_of(order, left, i), right, False, n_trained - n_tuned)
             b, p = counts.estimates()
             shown.append(b.astype(np.uint16).tobytes())
-            values.append(np.ascontiguousarray(p, dtype=np.float32).tobytes())
+            values.append(np.array(p, dtype=np.float32).tobytes())
+        counts = b = p = None
+        release()
         return pa.table({"buckets": pa.array(shown, pa.binary()), "estimates": pa.array(values, pa.binary())})
 
     held = units.where("tuning").select("unit", "kinds", "lengths", "ids", "words").groupBy("unit")
@@ -444,6 +460,8 @@ def score(trained: Trained) -> DataFrame:
                     }
                 )
             )
+        grams = counts = bucket = p = mixed = known = None
+        release()
         return pa.concat_tables(made)
 
     units = trained.units.select("unit", "rows", "kinds", "lengths", "ids", "words").groupBy("unit")

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,3 +366,31 @@ def test_packing():
         values = np.array(values, np.uint64)
         assert lm_scoring.unpack(lm_scoring.pack(values)).tolist() == values.tolist()
         assert lm_scoring.unpack_sorted(lm_scoring.pack_sorted(values)).tolist() == values.tolist()
+
+
+def test_a_bucket_is_summed_in_little_memory():
+    class Asked:
+        def groupBy(self, *keys):
+            return self
+
+        def applyInArrow(self, run, schema):
+            return run
+
+    units, n = 8, 50_000
+    keys = [np.arange(u, u + 3 * n, 3).astype(np.uint64) << np.uint64(20) for u in range(units)]
+    asked = pa.table(
+        {
+            "size": pa.array([2] * units, pa.int32()), "bucket": pa.array([0] * units, pa.int32()),
+            "unit": pa.array(range(units), pa.int64()), "tuning": pa.array([u == 0 for u in range(units)]),
+            "keys": pa.array([lm_scoring.pack_sorted(k) for k in keys], pa.binary()),
+            "counts": pa.array([lm_scoring.pack(np.ones(n, np.uint64)) for _ in keys], pa.binary()),
+        }
+    )
+    tracemalloc.start()
+    answers = lm_scoring._answers(Asked())(asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Units 1, 4 and 7 share the middle of their keys; unit 0 asks but does not count here.
+    assert lm_scoring.unpack(answers["main"][4].as_py())[n // 2] == 3
+    assert lm_scoring.unpack(answers["tuned"][3].as_py())[n // 2] == 1
+    assert peak < 65 * units * n
