@@ -264,5 +264,5 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     return map_texts(
         df, text_col, [id_col], lambda: _Digester(path),
         {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()},
-        "n_tokens long, ids_sha256 string, decoded_sha256 string",
+        "n_tokens long, ids_sha256 string, decoded_sha256 string", release_after=True,
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdelta.llm.arrow_tasks import hash_share, in_fold, map_texts
+from snapdelta.llm.arrow_tasks import hash_share, in_fold, map_texts, release
 
 SLOT_BITS = 20
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -115,6 +115,8 @@ def train(
                 [pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))],
                 names=["lang", "code", "n"],
             )
+        totals = codes = n = None
+        release()
 
     counted = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
@@ -187,5 +189,5 @@ def identify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)
     return map_texts(
         df, text_col, keep, lambda: _Scorer(shared.value),
-        {"lang_pred": pa.string(), "score": pa.float64()}, "lang_pred string, score double",
+        {"lang_pred": pa.string(), "score": pa.float64()}, "lang_pred string, score double", release_after=True,
     )

@@ -1,10 +1,11 @@
 """The pipeline keeps what it should, and each registered query equals its SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from snapdelta.llm import registry
+from snapdelta.llm import bpe_codec, language_id, registry
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -84,3 +85,21 @@ def test_unlearned_language_goes(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_stages_that_remember_much_give_their_memory_back(spark, monkeypatch):
+    given_back = []
+
+    def spied(of):
+        def map_texts(*args, **named):
+            given_back.append(named.get("release_after", False))
+            return of(*args, **named)
+
+        return map_texts
+
+    for module in (bpe_codec, language_id):
+        monkeypatch.setattr(module, "map_texts", spied(module.map_texts))
+    docs = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
+    bpe_codec.digests(docs)
+    language_id.identify(docs, language_id.Model([], "und", np.zeros((1, 1), np.uint64), np.zeros(0)), ["doc_id"])
+    assert given_back == [True, True]
