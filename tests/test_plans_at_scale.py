@@ -90,6 +90,21 @@ def test_repeats_of_a_name_shrink_before_the_shuffle(model, pairs):
     assert "partial_max" in plan_of(comparison.diff_summary(model, pairs))
 
 
+def test_tree_nodes_are_shuffled_once(model, pairs):
+    """From the union of objects and children on, one shuffle: by the node's names."""
+    plan = comparison.tree_diff(model, pairs)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]
+    by_rows = [x for x in re.findall(r"Exchange (\w+)\(([^)]*)\)", above) if "object_name" in x[1]]
+    assert len(by_rows) == 1 and "snapshot_id" not in by_rows[0][1], by_rows
+
+
+def test_report_rows_are_made_once(model, pairs):
+    """Finding even ranges reads stored rows, not the joins that make them."""
+    for name in ("schema text", "diff text"):
+        plan = plan_of(all_results(model, pairs)[name])
+        assert "rangepartitioning" in plan and "Join" not in plan and "Aggregate" not in plan, name
+
+
 def rows_of(df):
     return Counter(map(repr, df.collect()))
 
