@@ -41,3 +41,9 @@ def test_same_rows(spark, duck, name):
 
 def test_entry(spark):
     assert registry.entry(spark).columns == ["source_id", "target_id", "status", "n"]
+
+
+def test_routines_are_made_by_many_tasks(spark):
+    """A small file is one split; its rows are dealt before each becomes one per snapshot."""
+    proc = registry.catalog_from(spark, SF_DIR).proc
+    assert proc.rdd.getNumPartitions() > spark.read.parquet(f"{SF_DIR}/part.parquet").rdd.getNumPartitions()
