@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.llm import bpe_codec, jaccard_join, language_id, row_filter, source_mix, toxicity
-from snapdelta.llm.arrow_tasks import read_table
+from snapdelta.llm.arrow_tasks import bound_batches, read_table
 from snapdelta.llm.registry import make_importable
 from snapdelta.sources.shared_storage import stored
 
@@ -22,13 +22,18 @@ ORACLE_SQL = None
 LEAST_CHARACTERS = 40
 
 
+def _prepare(spark: SparkSession) -> None:
+    make_importable(spark)
+    bound_batches(spark)
+
+
 def _whole_rows(docs: DataFrame) -> DataFrame:
     """The row as one column, so that new columns cannot clash with its own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    make_importable(spark)
+    _prepare(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), fold=None)
     return toxicity.score(_whole_rows(docs), model, keep=["_row"]).where(F.col("score") < 0.3).select("_row.*")
 
@@ -36,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, and those long enough to tell in which no n-gram
     of any learned language is found."""
-    make_importable(spark)
+    _prepare(spark)
     model = language_id.train(docs, fold=None)
     named = language_id.identify(_whole_rows(docs), model, keep=["_row"])
     spoken = (F.col("score") > 0) | (F.length(F.coalesce(F.col("_row.text"), F.lit(""))) < LEAST_CHARACTERS)
@@ -45,7 +50,7 @@ def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by a similarity of 0.8 or more on five words, the least stays."""
-    make_importable(spark)
+    _prepare(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     # Rows without an id come last; no part is null, so that keys can be joined.
     key = F.struct(
@@ -63,14 +68,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, in its shards' order."""
-    make_importable(spark)
+    _prepare(spark)
     planned = source_mix.plan(docs)
     rows = source_mix.drawn(source_mix.mix(docs, planned))
     return rows.repartition("shard").sortWithinPartitions("shard", "order").select("row.*")
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    make_importable(spark)
+    _prepare(spark)
     return bpe_codec.digests(docs)
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4_000_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,7 +42,18 @@ def slices_by_size(texts: list[str], budget: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def small_batches(batch: pa.RecordBatch, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session send tasks batches of about ``BATCH_BYTES``, not ten thousand rows at once.
+
+    Spark holds a batch outside the heap twice, in Arrow and as the stream to Python, so
+    ten thousand long texts take much of an executor's memory. A limit set before stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def small_batches(batch: pa.RecordBatch, budget: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``budget`` bytes, one row at least."""
     rows = max(1, int(batch.num_rows * budget / max(batch.nbytes, 1)))
     for start in range(0, batch.num_rows, rows):
@@ -71,7 +84,8 @@ def map_texts(
     ``make`` runs once per task and returns a function from the texts of one Arrow batch
     (Spark bounds a batch by bytes) to columns named in ``fields``. ``schema`` is the
     schema of the new columns in Spark's words. With ``release_after`` a task gives its
-    memory back when it ends, which pays where ``make`` remembers much.
+    memory back when it ends, which pays where ``make`` remembers much; as it begins, it gives
+    back what earlier tasks' broadcasts left.
     """
     kept = list(keep)
     plain = df.select(*[F.col(c) for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -79,7 +93,9 @@ def map_texts(
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept_schema] + [schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = None
+        work = made = columns = None
+        if release_after:
+            release()
         for batch in (small for whole in batches for small in small_batches(whole)):
             work = work or make()
             made = work(batch.column(len(kept)).to_pylist())

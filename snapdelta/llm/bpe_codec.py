@@ -32,7 +32,7 @@ from snapdelta.llm import byte_bpe
 from snapdelta.llm.arrow_tasks import map_texts, slices_by_size, small_batches
 from snapdelta.llm.token_counts import CACHE_BITS, PieceScanner, slots
 
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 125_000
 CUT_BITS = 11  # a cut every 2048 characters in the mean
 POOL_IDS = 4_000_000
 REUSE_CHARS = 4_000_000

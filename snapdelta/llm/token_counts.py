@@ -28,6 +28,7 @@ from snapdelta.llm.arrow_tasks import map_texts, slices_by_size
 from snapdelta.llm.token_transducer import TokenTransducer, borders
 
 BLOCK_CHARS = 500_000
+FIRST_POWERS = 1 << 17
 CHUNK = 128
 CACHE_BITS = 20
 
@@ -129,8 +130,8 @@ class PieceScanner:
         self.classes[0x110000] = END
         self.values = np.random.default_rng(7).integers(1, 1 << 63, 0x3000, dtype=np.uint64)
         base = 0x9E3779B97F4A7C15
-        self.powers = np.cumprod(np.full(BLOCK_CHARS * 2, base, np.uint64))
-        self.inverse = np.cumprod(np.full(BLOCK_CHARS * 2, pow(base, -1, 1 << 64), np.uint64))
+        self.powers = np.cumprod(np.full(FIRST_POWERS, base, np.uint64))
+        self.inverse = np.cumprod(np.full(FIRST_POWERS, pow(base, -1, 1 << 64), np.uint64))
 
     def _class_of(self, code: int) -> int:
         letter = chr(code)
@@ -152,7 +153,7 @@ class PieceScanner:
         return found
 
     def _grown(self, n: int) -> None:
-        while len(self.powers) < n:  # only for a single text beyond the block size
+        while len(self.powers) < n:
             for name in ("powers", "inverse"):
                 known = getattr(self, name)
                 setattr(self, name, np.concatenate([known, known * known[-1]]))

@@ -2,10 +2,12 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from snapdelta.llm import bpe_codec, language_id, registry
+from snapdelta.llm import arrow_tasks, bpe_codec, byte_bpe, language_id, registry, token_counts
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -103,3 +105,41 @@ def test_stages_that_remember_much_give_their_memory_back(spark, monkeypatch):
     bpe_codec.digests(docs)
     language_id.identify(docs, language_id.Model([], "und", np.zeros((1, 1), np.uint64), np.zeros(0)), ["doc_id"])
     assert given_back == [True, True]
+
+
+def _batch_bytes(session, docs):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    return [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+
+
+def test_stages_get_small_batches(spark):
+    session = spark.newSession()
+    docs = session.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    corpus_pipeline.encode_and_decode(session, docs, "")
+    found = _batch_bytes(session, docs)
+    assert sum(found) > 15_000_000 and max(found) < 1.2 * arrow_tasks.BATCH_BYTES
+
+
+def test_a_limit_of_the_session_stays(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    corpus_pipeline.encode_and_decode(session, session.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000000"
+
+
+def test_tables_grow_with_the_longest_text():
+    from tokenizers import Tokenizer
+
+    path = byte_bpe.default_path()
+    encoder = bpe_codec._Encoder(path)
+    scanner = encoder.encode.scanner
+    assert len(scanner.powers) == token_counts.FIRST_POWERS < token_counts.BLOCK_CHARS
+    # Without a safe place the whole text is one unit.
+    texts = ["a few words, ", "x\u00e9" * 200_000, "it's 12 more\n" * 30]
+    library = Tokenizer.from_file(path)
+    assert [x.tolist() for x in encoder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(scanner.powers) >= 400_000
+    assert (scanner.powers * scanner.inverse == 1).all()
