@@ -338,6 +338,25 @@ def test_top_k_equals_brute_force(session, monkeypatch):
     assert topk_search.search(texts_table(session, [])).collect() == []
 
 
+def test_top_k_deals_texts_once_whatever_the_number_of_blocks(session, monkeypatch):
+    table = texts_table(session, near_copies(120, [3, 12, 60]))
+    frame, dealt, found = type(table), [], []
+
+    def counted(df, *args):
+        dealt.append(df.count())
+        return deal(df, *args)
+
+    deal = frame.repartitionById
+    monkeypatch.setattr(frame, "repartitionById", counted)
+    for block in (2, 100):
+        monkeypatch.setattr(topk_search, "BLOCK_QUERIES", block)
+        found.append(sorted(map(tuple, topk_search.search(table).collect())))
+    assert dealt == [table.count()] * 2
+    monkeypatch.setattr(topk_search, "BLOCK_WORDS", 50)
+    found.append(sorted(map(tuple, topk_search.search(table).collect())))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_top_k_of_null_and_repeated_ids(session):
     rows = [(0, "a b c x"), (0, "a d d e"), (1, "a b"), (1, "a b"), (2, "d e"), (3, ""), (4, None), (None, "a b c"), (5, "c " * 9000)]
     words, n = [(t or "").split() for i, t in rows if i is not None], 8
