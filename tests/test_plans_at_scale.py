@@ -2,17 +2,18 @@
 
 import os
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from snapdelta import build_model, land, latest, numbered_lines
-from snapdelta.operators import report
+from snapdelta.operators import report, tree
 from snapdelta.plans import comparison
 from snapdelta.sources.catalog import RELATIONS, catalog_of, read_catalog
 from snapdelta.sources.sample_catalog import catalog_from, pairs_from
-from snapdelta.sources.shared_storage import cleaned_up, stored
+from snapdelta.sources.shared_storage import FREE_SETTING, cleaned_up, discard, shared_dir, stored
 
 
 @pytest.fixture(scope="module")
@@ -204,6 +205,87 @@ def test_stored_tables_are_cleaned_up(spark):
     assert not os.path.exists(file.removeprefix("file://"))
 
 
+def test_a_freed_job_leaves_no_shuffle_files_and_no_setting(spark):
+    files = lambda: {
+        f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        ) if f.getName().startswith("shuffle_")
+    }
+    before, rows = files(), spark.range(1000).groupBy((F.col("id") % 10).alias("x")).count()
+    kept = stored(rows, free=True, packed=True)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(FREE_SETTING) == "false"
+    assert sorted(map(tuple, kept.collect())) == [(x, 100) for x in range(10)]
+    (folder,) = {f.rpartition("/")[0] for f in kept.inputFiles()}
+    discard(kept)
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
+def test_tree_text_leaves_its_lines_alone(model, pairs, spark, landed):
+    """What was stored on the way is deleted once the next step has it."""
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = comparison.tree_text(model, pairs)
+    sizes = [spark.read.parquet(f"{folder}/{name}").count() for name in set(os.listdir(folder)) - before]
+    listed = model.objects.count()
+    assert found.count() > listed and [n for n in sizes if n > listed] == [found.count()]
+
+
+def test_pairs_meet_where_tree_nodes_lie(model, pairs, settings, monkeypatch):
+    """Behind the ranges of the nodes nothing deals them anew, whatever the settings."""
+    made = []
+
+    def kept(df, **how):
+        made.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, **how)
+
+    monkeypatch.setattr(tree, "stored", kept)
+    settings(autoBroadcastJoinThreshold="-1", requireAllClusterKeysForDistribution="true")
+    comparison.tree_text(model, pairs)
+    (plan,) = [text for columns, text in made if "left_line" in columns]
+    by_rows = [x for x in re.findall(r"Exchange (\w+)\(([^)]*)\)", plan) if "object_name" in x[1]]
+    assert [kind for kind, _ in by_rows] == ["rangepartitioning"], by_rows
+
+
+def test_tree_text_of_names_that_many_ranges_share(spark, settings):
+    """Overloads, and equal tables of many schemas with children, cut by ranges anywhere."""
+    n = 60
+    catalog = catalog_of(
+        spark,
+        {
+            "snapshots": [(s, "db", None) for s in (0, 1)],
+            "namespace": [(s, 1, "public") for s in (0, 1)],
+            "language": [(s, 1, "sql") for s in (0, 1)],
+            "columns": [
+                (s, f"s{k:02}", "t", f"c{c}", "int", "YES", None, c)
+                for s in (0, 1) for k in range(s, n) for c in range(1 + k % 5)
+            ],
+            "proc": [(s, o, "f", 1, 1, "f", "int", f"{o:03} int") for s in (0, 1) for o in range(7 * s, n)],
+            "indexes": [(0, "s03", "t", f"i{i:02}", "CREATE INDEX") for i in range(n)],
+        },
+    )
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (1, 1)], "source_id INT, target_id INT")
+
+    def text():
+        found = comparison.tree_text(build_model(catalog), pairs)
+        return sorted((tuple(r) for r in found.collect()), key=repr)
+
+    settings(shuffle__partitions="1")
+    whole = text()
+    settings(shuffle__partitions="23", adaptive__coalescePartitions__enabled="false")
+    assert text() == whole
+    # The last tables and overloads of snapshot 0 have no counterpart, in order.
+    tables, children = n, sum(1 + k % 5 for k in range(n))
+    first = [r for r in whole if r[:2] == (0, 1)]
+    assert len(first) >= tables + n and sum(r[6] == "[FUNCTION] f" for r in first) == n
+    assert sum(r[6] == "[FUNCTION] f" and r[3] == "left_only" for r in first) == 7
+    assert sum(r[6] == "[TABLE] t" and r[3] == "left_only" for r in first) == 1
+    assert sum(r[6].startswith("  [COLUMN]") for r in first) >= children - 1
+
+
 def hot_catalog(spark, n):
     """One table owns most columns, one name most routines, one snapshot most rows."""
     ids = spark.range(n)
